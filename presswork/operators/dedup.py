@@ -2,16 +2,17 @@
 
 One key may hold a third of all rows, so nothing here ranks an unbounded
 group in one task: winners come from map-side combined aggregates, caps from
-salted two-step ranks, and global ranks from hash buckets plus bucket offsets.
+salted two-step ranks, and global rank cuts from bucket sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 256
 RANK_BUCKET_HEX = 3  # 16 ** 3 buckets
+BROADCAST_ROWS = 10_000
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -90,29 +91,44 @@ def cap_total(df: DataFrame, group: list[str], order: list[str], n: int) -> Data
     )
 
 
-def hash_rank(df: DataFrame, hash_col: str, strata: list[str], tie: list[str]) -> DataFrame:
-    """Exact rank and size within each stratum by a hex digest, as ``_rank`` and ``_size``.
+def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unmarked."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
-    Digests are uniform, so their first three hex digits cut even a dominant
-    stratum into 4,096 even buckets.  A row's rank is its rank in the bucket plus
-    the sizes of the buckets before it; both depend on the row alone, so a
+
+def rank_cutoffs(
+    df: DataFrame, digest: Column, key: str, strata: list[str], ranks: dict[str, Column]
+) -> DataFrame:
+    """The (digest, key) pair found at given ranks of each stratum, as ``name`` columns.
+
+    ``ranks`` are expressions over ``_size``, the stratum's rows.  Hex digests
+    are uniform, so their first digits cut even a dominant stratum into 4,096
+    even buckets.  Bucket sizes tell which bucket holds a rank; only those
+    buckets are sorted.  Rows and buckets depend on the key alone, so a
     recomputed task gives the same answer.
     """
-    bucketed = df.withColumn("_bucket", F.substring(hash_col, 1, RANK_BUCKET_HEX))
-    sizes = bucketed.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    slim = df.select(*strata, key, digest.alias("_digest")).withColumn(
+        "_bucket", F.substring("_digest", 1, RANK_BUCKET_HEX)
+    )
+    sizes = slim.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     # At most 4,096 rows per stratum reach these windows.
     before = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*strata)
-    offsets = sizes.select(
-        *strata,
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_rows").over(whole).alias("_size"),
+    wanted = F.array(*[F.struct(F.lit(n).alias("_name"), r.cast("long").alias("_at")) for n, r in ranks.items()])
+    targets = (
+        sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .withColumn("_size", F.sum("_rows").over(whole))
+        .select(*strata, "_bucket", "_offset", "_rows", F.inline(wanted))
+        .where((F.col("_at") > F.col("_offset")) & (F.col("_at") <= F.col("_offset") + F.col("_rows")))
+        .drop("_rows")
     )
-    within = Window.partitionBy(*strata, "_bucket").orderBy(hash_col, *tie)
-    return (
-        bucketed.withColumn("_rank", F.row_number().over(within))
-        .join(offsets, [*strata, "_bucket"])
-        .withColumn("_rank", F.col("_rank") + F.col("_offset"))
-        .drop("_bucket", "_offset")
+    within = Window.partitionBy(*strata, "_name", "_bucket").orderBy("_digest", key)
+    found = (
+        slim.join(small_enough(targets), [*strata, "_bucket"])
+        .withColumn("_rank", F.row_number().over(within) + F.col("_offset"))
+        .where(F.col("_rank") == F.col("_at"))
+    )
+    cut = F.struct(F.col("_digest").alias("digest"), F.col(key).alias("key"))
+    return found.groupBy(*strata).agg(
+        *[F.max(F.when(F.col("_name") == n, cut)).alias(n) for n in ranks]
     )
