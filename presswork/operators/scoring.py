@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.config import SINGLE_LABEL_WORDS, STAGE1_CHARS
+from presswork.functions.html import let
 from presswork.functions.text import NON_WORD, compose_text, truncate_chars, truncate_words
 
 SCORES = "array<struct<label:string,score:double>>"
@@ -45,13 +46,28 @@ def _occurrences(padded: Column, word: str) -> Column:
     return ((F.length(padded) - F.length(without)) / F.lit(len(needle))).cast("int")
 
 
-def lexicon_scores(padded: Column, lexicon: Lexicon) -> dict[str, Column]:
-    """One score column per label over an already padded text column."""
-    scores = {}
-    for label, words in lexicon.words.items():
-        hits = sum((_occurrences(padded, w) for w in words), F.lit(0))
-        scores[label] = hits / (hits + F.lit(lexicon.damping))
-    return scores
+def lexicon_scores(text: Column, lexicon: Lexicon) -> Column:
+    """In-row scores of a text.
+
+    The padded text and the hit counts are each bound once, so the expression
+    stays small even where the optimizer copies it into a pushed-down filter.
+    """
+
+    def hits(padded: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                F.lit(label).alias("label"),
+                sum((_occurrences(padded, w) for w in words), F.lit(0)).alias("hits"),
+            )
+            for label, words in lexicon.words.items()
+        ])
+
+    return F.transform(
+        let(_padded(text), hits),
+        lambda s: F.struct(
+            s["label"].alias("label"), (s["hits"] / (s["hits"] + F.lit(lexicon.damping))).alias("score")
+        ),
+    )
 
 
 def score_lexicon(
@@ -61,15 +77,9 @@ def score_lexicon(
     out: str = "scores",
     max_chars: int | None = STAGE1_CHARS,
 ) -> DataFrame:
-    """Add the in-row scores of a lexicon; stays in generated code.
-
-    The padded text is its own projection, read by many expressions, so it is
-    computed once per row.
-    """
-    source = F.col(text) if max_chars is None else truncate_chars(F.col(text), max_chars)
-    scores = lexicon_scores(F.col("_padded"), lexicon)
-    pairs = [F.struct(F.lit(k).alias("label"), v.alias("score")) for k, v in scores.items()]
-    return df.withColumn("_padded", _padded(source)).withColumn(out, F.array(*pairs)).drop("_padded")
+    """Add the in-row scores of a lexicon; no shuffle, no Python worker."""
+    source = F.coalesce(F.col(text), F.lit("")) if max_chars is None else truncate_chars(F.col(text), max_chars)
+    return df.withColumn(out, lexicon_scores(source, lexicon))
 
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
@@ -155,14 +165,15 @@ def widen_in_row(df: DataFrame, labels: Sequence[str], prefix: str = "", scores:
 
 def competing(scores: Column) -> Column:
     """Scores divided by their sum, so that labels compete."""
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s["score"])
-    return F.transform(
-        scores,
-        lambda s: F.struct(
+
+    def share(items: Column) -> Column:
+        total = F.aggregate(items, F.lit(0.0), lambda acc, s: acc + s["score"])
+        return let(total, lambda t: F.transform(items, lambda s: F.struct(
             s["label"].alias("label"),
-            F.coalesce(F.try_divide(s["score"], total), F.lit(0.0)).alias("score"),
-        ),
-    )
+            F.coalesce(F.try_divide(s["score"], t), F.lit(0.0)).alias("score"),
+        )))
+
+    return let(scores, share)
 
 
 def classify_single(
@@ -177,5 +188,6 @@ def classify_single(
 
 def top_label(scores: Column) -> Column:
     """The highest scored struct; the first one wins a tie."""
-    best = F.array_max(F.transform(scores, lambda s: s["score"]))
-    return F.get(F.filter(scores, lambda s: s["score"] == best), F.lit(0))
+    ordered = F.transform(
+        scores, lambda s, i: F.struct(s["score"].alias("score"), (-i).alias("before"), s["label"].alias("label")))
+    return F.array_max(ordered)

@@ -71,7 +71,7 @@ def fit_multilabel(
             return (lr.setWeightCol(weight) if weight else lr).fit(features)
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            models = list(pool.map(inheritable_thread_target(fit), [x for x in labels if x not in constants]))
+            models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), [x for x in labels if x not in constants]))
     finally:
         features.unpersist()
     return MultiLabelModel(PipelineModel([*tfidf.stages, *models]), list(labels), constants)

@@ -20,10 +20,14 @@ class SourceConfig:
     limits: CrawlLimits
 
 
+def site_rows(raw: DataFrame, *keep: str) -> DataFrame:
+    """One row per site of each configuration document, in listed order."""
+    return raw.select(*keep, F.posexplode("sites").alias("site_pos", "s")).select(*keep, "site_pos", "s.*")
+
+
 def read_site_table(spark: SparkSession, path: str) -> DataFrame:
     """The sites of a configuration document in listed order."""
-    raw = spark.read.schema(schemas.SOURCE_CONFIG).option("multiLine", True).json(path)
-    return raw.select(F.posexplode("sites").alias("site_pos", "s")).select("site_pos", "s.*")
+    return site_rows(spark.read.schema(schemas.SOURCE_CONFIG).option("multiLine", True).json(path))
 
 
 def read_keyword_table(spark: SparkSession, path: str) -> DataFrame:
