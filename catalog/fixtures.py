@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from presswork.config import CATEGORIES, ISSUES
 from presswork.operators.scoring import Lexicon
+from presswork.session import spread, stage
 
 KEYWORDS = ["thor", "eron", "ción", "ellement", "einheit"]
 
@@ -29,7 +30,7 @@ STAGE2 = Lexicon(dict(zip(ISSUES, [
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet"))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +144,7 @@ DUCK_DOCS_SQL = duck(_docs_sql(lambda item, pos: f"string_agg({item}, '' order b
 
 
 def docs(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
-    df = from_sql(spark, sf, SPARK_DOCS_SQL)
+    df = stage(from_sql(spark, sf, SPARK_DOCS_SQL), "docs")  # stored documents
     return df if kind is None else df.where(F.col("kind") == kind)
 
 
@@ -161,7 +162,7 @@ from {{pages}} p join ({CANDIDATES_SQL}) c on c.pos = p.page_id, (select count(*
 
 
 def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return from_sql(spark, sf, CRAWL_PAGES_SQL)
+    return stage(from_sql(spark, sf, CRAWL_PAGES_SQL), "pages")  # stored pages
 
 
 # ---- pages in other mark-up ------------------------------------------------------

@@ -36,10 +36,10 @@ class MultiLabelModel:
 def fit_multilabel(
     train: DataFrame,
     labels: Sequence[str],
-    key: str,
     text: str = "content",
     c: float = 1.0,
     max_iter: int = 1000,
+    tol: float = 1e-4,
     weight: str | None = None,
     parallelism: int = 4,
     **bounds,
@@ -47,11 +47,12 @@ def fit_multilabel(
     """Fit TF-IDF and one unweighted L2 logistic regression per label on ``train``.
 
     ``C`` of a loss-sum objective is ``regParam = 1 / (C n)`` of Spark's
-    loss-mean objective.  Each fit is a distributed job; ``parallelism`` lets a
+    loss-mean objective.  The texts are tokenised once, into a persisted
+    feature table that the label fits share.  Each fit is a distributed job; ``parallelism`` lets a
     few labels share the cluster.
     """
     terms = with_terms(train, text)
-    tfidf = fit_tfidf(terms, key, **bounds)
+    tfidf = fit_tfidf(terms, **bounds)
     columns = [*labels, *([weight] if weight else [])]
     features = tfidf.transform(terms).select("features", *[F.col(x).cast("double").alias(x) for x in columns])
     features = features.persist(StorageLevel.MEMORY_AND_DISK)
@@ -65,7 +66,7 @@ def fit_multilabel(
         def fit(label: str):
             lr = LogisticRegression(
                 featuresCol="features", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                standardization=False, maxIter=max_iter, family="binomial",
+                standardization=False, maxIter=max_iter, tol=tol, family="binomial",
                 rawPredictionCol=f"_raw_{label}", probabilityCol=f"_prob_{label}", predictionCol=f"_pred_{label}",
             )
             return (lr.setWeightCol(weight) if weight else lr).fit(features)

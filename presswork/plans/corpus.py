@@ -96,11 +96,11 @@ class StageResult:
 
 
 def train_stage(
-    data: DataFrame, labels: Sequence[str], key: str, text: str = "content", split: str = "split", **options
+    data: DataFrame, labels: Sequence[str], text: str = "content", split: str = "split", **options
 ) -> StageResult:
     """Fit on the train rows and evaluate on validation and test rows in one pass."""
     started = time.time()
-    model = fit_multilabel(data.where(F.col(split) == "train"), labels, key, text, **options)
+    model = fit_multilabel(data.where(F.col(split) == "train"), labels, text, **options)
     seconds = time.time() - started
     held_out = predict_multilabel(data.where(F.col(split) != "train"), model, text)
     pairs = metrics.metric_pairs(held_out, {x: f"pred_{x}" for x in labels}, [split])

@@ -66,3 +66,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give it fewer partitions than there are cores.
+
+    A corpus of many files comes back unchanged; a corpus of one file would
+    otherwise be tokenised and parsed by one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
