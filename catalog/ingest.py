@@ -6,6 +6,7 @@ from catalog import fixtures as fx
 from catalog.registry import query
 from presswork.functions import html as H
 from presswork.operators import extract, ingest
+from presswork.operators.rows import array_rows
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 NOISE = r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<!--.*?-->"
@@ -126,7 +127,7 @@ def keyword_hits(spark, sf):
 
 @query("keyword_counts", f"with {HITS_CTE}, flat as (select unnest(found) as keyword from hits) select keyword, count(*) as articles from flat group by keyword")
 def keyword_counts(spark, sf):
-    return _hits(spark, sf).select(F.explode("found").alias("keyword")).groupBy("keyword").agg(
+    return array_rows(_hits(spark, sf), [], F.col("found"), "keyword", None).groupBy("keyword").agg(
         F.count(F.lit(1)).alias("articles"))
 
 

@@ -24,24 +24,26 @@ def scored1(spark, sf):
     ).select("doc_id", "scores")
 
 
-def wide1(spark, sf):
-    df = scoring.widen_in_row(scored1(spark, sf), CATEGORIES, "")
-    return df.select("doc_id", *[F.col(f"`{n}`").alias(c) for n, c in zip(CATEGORIES, S1_COLS)])
+def _wide(df, lexicon, labels, columns, chars, *keep):
+    scored = scoring.widen_in_row(scoring.score_lexicon(df, lexicon, "text", "scores", chars), labels)
+    return scored.select("doc_id", *keep, *[F.col(f"`{n}`").alias(c) for n, c in zip(labels, columns)])
 
 
-def wide2(spark, sf):
-    """Stage-2 columns of rows over the gate; the gate filter comes before the scoring."""
+def wide1(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
-    first = scoring.widen_in_row(scoring.score_lexicon(docs, fx.STAGE1, "text", "scores", config.STAGE1_CHARS), CATEGORIES)
-    gated = first.where(F.col("Artificial Intelligence") >= config.GATE_THRESHOLD).select("doc_id", "text")
-    second = scoring.score_lexicon(gated, fx.STAGE2, "text", "scores", config.STAGE2_CHARS)
-    df = scoring.widen_in_row(second, ISSUES)
-    return df.select("doc_id", *[F.col(f"`{n}`").alias(c) for n, c in zip(ISSUES, S2_COLS)])
+    return _wide(docs, fx.STAGE1, CATEGORIES, S1_COLS, config.STAGE1_CHARS)
 
 
 def combined(spark, sf):
-    """Both stages, written out once: scores are expensive and read by column afterwards."""
-    return stage(labelling.combine_stages(stage(wide1(spark, sf)), wide2(spark, sf), "doc_id"))
+    """Both stages.  Each is written out once, since scores are expensive and read by column afterwards.
+
+    The second stage sees only texts over the gate.
+    """
+    docs = fx.documents(spark, sf).select("doc_id", "text")
+    first = stage(_wide(docs, fx.STAGE1, CATEGORIES, S1_COLS, config.STAGE1_CHARS, "text"))
+    gated = labelling.in_gate(first).select("doc_id", "text")
+    second = _wide(gated, fx.STAGE2, ISSUES, S2_COLS, config.STAGE2_CHARS)
+    return stage(labelling.combine_stages(first.drop("text"), second, "doc_id"))
 
 
 def binary(spark, sf):

@@ -6,6 +6,7 @@ from catalog import fixtures as fx
 from catalog.registry import query
 from presswork import config
 from presswork.functions import text as X
+from presswork.operators.rows import array_rows
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 ARTICLES = f"with articles as ({fx.duck(fx.ARTICLES_SQL)})"
@@ -91,8 +92,7 @@ def validate_input(spark, sf):
 @query("tokens", """select doc_id, unnest(range(len(w))) as pos, unnest(w) as token
 from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from documents)""")
 def tokens(spark, sf):
-    return fx.documents(spark, sf).select(
-        "doc_id", F.posexplode(X.tokenize(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return array_rows(fx.documents(spark, sf), ["doc_id"], X.tokenize(F.col("text")), "token").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("bigrams", """with w as (select doc_id, unnest(range(len(w))) as pos, unnest(w) as token
@@ -101,7 +101,7 @@ p as (select doc_id, pos, token || ' ' || lead(token) over (partition by doc_id
 select doc_id, pos, bigram from p where bigram is not null""")
 def bigrams(spark, sf):
     return (
-        fx.documents(spark, sf).select("doc_id", X.tokenize(F.col("text")).alias("t"))
-        .select("doc_id", F.posexplode(X.bigrams(F.col("t"))).alias("pos", "bigram"))
+        array_rows(fx.documents(spark, sf).withColumn("t", X.tokenize(F.col("text"))), ["doc_id"],
+                   X.bigrams(F.col("t")), "bigram")
         .withColumn("pos", F.col("pos").cast("long"))
     )

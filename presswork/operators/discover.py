@@ -12,6 +12,7 @@ from presswork.functions import urls as U
 from presswork.functions.text import strip_ws
 from presswork.operators.dedup import cap_per_group, cap_total, first_wins, new_rows
 from presswork.operators.links import anchors
+from presswork.operators.rows import array_rows
 from presswork.session import stage
 
 LOC = r"(?s)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?loc\s*>"
@@ -51,37 +52,35 @@ def sitemap_urls(docs: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame
     Duplicates are dropped inside the row by ``array_distinct``, which keeps order.
     """
     locs = F.array_distinct(F.filter(sitemap_locs(F.col("xml")), U.is_likely_article))
-    return docs.where(~is_sitemap_index(F.col("xml"))).select(*keep, F.posexplode(locs).alias("pos", "loc"))
+    return array_rows(docs.where(~is_sitemap_index(F.col("xml"))), keep, locs, "loc")
 
 
 def expand_sitemaps(docs: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Sitemaps reachable from ``seeds`` (``site, url``): ``site, url, depth``, at most ``max_depth`` levels.
+    """Stored sitemaps reachable from ``seeds`` (``site, url``): ``site, url, depth``, at most ``max_depth`` levels.
 
-    One join per level; the frontier is distinct, so a sitemap listed by many
-    indexes is joined once, and a visited one is never followed again.
+    One join and one aggregate per level; the frontier is distinct, so a sitemap
+    listed by many indexes is joined once, and a visited one is never followed
+    again.  Each level is written out, which keeps the plan of the next one short.
     """
-    edges = docs.where(is_sitemap_index(F.col("xml"))).select(
-        F.col("url").alias("src"), F.explode(sitemap_locs(F.col("xml"))).alias("url")
-    )
-    known = docs.select("url")
-    frontier = seeds.select("site", "url").distinct().join(known, "url", "left_semi")
-    frontier = frontier.select("site", "url", F.lit(1).alias("depth"))
+    indexes = docs.where(is_sitemap_index(F.col("xml"))).select(F.col("url").alias("src"), "xml")
+    edges = stage(array_rows(indexes, ["src"], sitemap_locs(F.col("xml")), "url", None), "sitemap-edges")
+    frontier = seeds.select("site", "url").distinct().withColumn("depth", F.lit(1))
     reached = frontier
     for depth in range(2, max_depth + 1):
-        step = (
-            frontier.select("site", F.col("url").alias("src"))
-            .join(edges, "src")
-            .select("site", "url")
-            .distinct()
-            .join(known, "url", "left_semi")
-            .join(reached.select("site", "url"), ["site", "url"], "left_anti")
-            .select("site", "url", F.lit(depth).alias("depth"))
-        )
-        frontier = stage(step, f"sitemaps-{depth}")
+        listed = frontier.select("site", F.col("url").alias("src")).join(edges, "src").select("site", "url")
+        frontier = stage(_unseen(listed, reached).withColumn("depth", F.lit(depth)), f"sitemaps-{depth}")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
-    return reached
+    return reached.join(docs.select("url"), "url", "left_semi")
+
+
+def _unseen(found: DataFrame, reached: DataFrame) -> DataFrame:
+    """Distinct ``site, url`` of ``found`` that were not reached before: one aggregate, combined on the map side."""
+    both = found.withColumn("_old", F.lit(0)).unionByName(
+        reached.select("site", "url", F.lit(1).alias("_old"))
+    )
+    return both.groupBy("site", "url").agg(F.max("_old").alias("_old")).where("_old = 0").drop("_old")
 
 
 # ---- feeds -----------------------------------------------------------------
@@ -101,7 +100,7 @@ def feed_urls(docs: DataFrame, max_urls: int = config.FEED_MAX_URLS, keep: tuple
     """The first ``max_urls`` entry links of each stored feed: kept columns, ``pos``, ``loc``."""
     entries = F.regexp_extract_all(F.col("xml"), F.lit(ENTRY), F.lit(1))
     links = F.filter(F.transform(entries, _entry_link), lambda x: x.isNotNull())
-    return docs.select(*keep, F.posexplode(F.slice(links, 1, max_urls)).alias("pos", "loc"))
+    return array_rows(docs, keep, F.slice(links, 1, max_urls), "loc")
 
 
 # ---- category pages ----------------------------------------------------------
@@ -114,29 +113,28 @@ def crawl_pages(
     """Stored pages reached from ``seeds`` (``site, url``) over pagination links: ``site, url, depth``.
 
     Breadth first: each page passes on its first ``fanout`` pagination targets
-    that no earlier level of the same site reached.  The ranking window covers
-    one page's links; the level's edges come from one join on the page URL.
+    that no earlier level of the same site visited, whether or not it is stored.
+    The ranking window covers one page's links; the level's edges come from one
+    join on the page URL.
     """
     edges = stage(
-        pages.select(
-            F.col("url").alias("src"),
-            F.posexplode(
-                F.filter(
-                    F.transform(
-                        anchors(F.col("html")),
-                        lambda a: F.when(
-                            U.is_pagination(a["anchor_text"]), U.resolve_href(F.col("url"), a["href"])
-                        ),
+        array_rows(
+            pages.withColumnRenamed("url", "src"),
+            ["src"],
+            F.filter(
+                F.transform(
+                    anchors(F.col("html")),
+                    lambda a: F.when(
+                        U.is_pagination(a["anchor_text"]), U.resolve_href(F.col("src"), a["href"])
                     ),
-                    lambda t: t.isNotNull(),
-                )
-            ).alias("pos", "url"),
+                ),
+                lambda t: t.isNotNull(),
+            ),
+            "url",
         ),
         "pagination",
     )
-    known = pages.select("url")
-    frontier = seeds.select("site", "url").distinct().join(known, "url", "left_semi")
-    frontier = frontier.select("site", "url", F.lit(0).alias("depth"))
+    frontier = seeds.select("site", "url").distinct().withColumn("depth", F.lit(0))
     reached = frontier
     by_page = Window.partitionBy("site", "src").orderBy("pos")
     for depth in range(1, max_depth + 1):
@@ -148,14 +146,13 @@ def crawl_pages(
             .where(F.col("_rank") <= fanout)
             .select("site", "url")
             .distinct()
-            .join(known, "url", "left_semi")
-            .select("site", "url", F.lit(depth).alias("depth"))
+            .withColumn("depth", F.lit(depth))
         )
         frontier = stage(step, f"crawl-{depth}")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
-    return reached
+    return reached.join(pages.select("url"), "url", "left_semi")
 
 
 def page_article_links(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -164,7 +161,7 @@ def page_article_links(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> Da
         anchors(F.col("html")), lambda a: U.strip_fragment(U.resolve_href(F.col("url"), a["href"]))
     )
     links = F.array_distinct(F.filter(found, lambda t: t.isNotNull() & U.is_likely_article(t)))
-    return pages.select(*keep, F.posexplode(links).alias("pos", "loc"))
+    return array_rows(pages, keep, links, "loc")
 
 
 def crawl_urls(

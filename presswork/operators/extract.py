@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from presswork import config
 from presswork.functions import html as H
 from presswork.functions.text import collapse_ws
+from presswork.operators.rows import array_rows
 from presswork.session import stage
 
 EVENT = rf"(?i)<(?:p|/p|/?(?:hr|{H.BLOCK}))(?:\s[^>]*)?/?>"
@@ -36,8 +37,7 @@ def paragraph_parents(pages: DataFrame, key: str, html: str = "html") -> DataFra
     kind = F.when(tag.rlike(BLOCK_OPEN), 1).when(tag.rlike(BLOCK_CLOSE), -1).otherwise(0)
     is_p = tag.rlike(P_START)
     flat = (
-        pages.select(key, F.posexplode(events).alias("pos", "_e"))
-        .select(
+        array_rows(pages, [key], events, "_e").select(
             key,
             "pos",
             kind.alias("delta"),

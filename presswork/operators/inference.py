@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presswork import config
 from presswork.functions.text import input_error, percent_1dp, preview
+from presswork.operators.rows import array_rows
 from presswork.operators.scoring import Lexicon, Scorer, score_labels, score_lexicon, top_label
 from presswork.operators.train import MultiLabelModel, predict_multilabel
 
@@ -92,7 +93,7 @@ def issue_scores(scores: Column) -> Column:
 def issue_flags(df: DataFrame, key: str, scores: str = "scores",
                 threshold: float = config.DECISION_THRESHOLD) -> DataFrame:
     """Per row and label, highest score first: rank, percentage with one decimal, detected or safe."""
-    return df.select(key, F.posexplode(ranked_labels(F.col(scores))).alias("rank", "_s")).select(
+    return array_rows(df, [key], ranked_labels(F.col(scores)), "_s", "rank").select(
         key,
         "rank",
         F.col("_s.label").alias("label"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from presswork.functions import html as H
 from presswork.functions import urls as U
 from presswork.functions.text import collapse_ws
+from presswork.operators.rows import array_rows
 
 A_OPEN = r"(?i)<a\s"
 HREF = r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -37,7 +38,7 @@ def extract_links(pages: DataFrame, keep: tuple[str, ...] = ("url",), html: str
 
     Anchors are cut inside the row and exploded; no shuffle.
     """
-    return pages.select(*keep, F.posexplode(anchors(F.col(html))).alias("pos", "_a")).select(
+    return array_rows(pages, keep, anchors(F.col(html)), "_a").select(
         *keep, "pos", F.col("_a.href").alias("href"), F.col("_a.anchor_text").alias("anchor_text")
     )
 

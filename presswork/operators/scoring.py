@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from presswork.config import SINGLE_LABEL_WORDS, STAGE1_CHARS
 from presswork.functions.html import let
+from presswork.operators.rows import array_rows
 from presswork.functions.text import NON_WORD, compose_text, truncate_chars, truncate_words
 
 SCORES = "array<struct<label:string,score:double>>"
@@ -40,10 +41,11 @@ def _padded(text: Column) -> Column:
 
 
 def _occurrences(padded: Column, word: str) -> Column:
-    """Whole-word count by the length that a replacement removes; no lambda, no regex."""
+    """Whole-word count by the bytes that a replacement removes; no regex, no character count."""
     needle = f" {word} "
     without = F.replace(padded, F.lit(needle), F.lit(""))
-    return ((F.length(padded) - F.length(without)) / F.lit(len(needle))).cast("int")
+    removed = F.octet_length(padded) - F.octet_length(without)
+    return (removed / F.lit(len(needle.encode()))).cast("int")
 
 
 def lexicon_scores(text: Column, lexicon: Lexicon) -> Column:
@@ -145,7 +147,7 @@ def score_labels(
 
 def to_long(df: DataFrame, key: str, scores: str = "scores") -> DataFrame:
     """``key, pos, label, score``, one row per label."""
-    return df.select(key, F.posexplode(scores).alias("pos", "_s")).select(
+    return array_rows(df, [key], F.col(scores), "_s").select(
         key, "pos", F.col("_s.label").alias("label"), F.col("_s.score").alias("score")
     )
 
