@@ -157,7 +157,8 @@ select p.page_id, concat('https://crawl.example.org/p/', p.page_id) as url,
        concat('<html><body>',
        {", ".join(f"'<a class=x href=\"/p/', (p.page_id * 3 + {i}) % n, '\">{w}</a>'" for i, w in enumerate(_NEXT, 1))},
        ', <a href="', replace(c.url, '&', '&amp;'), '">story</a>', p.html) as html
-from {{pages}} p join ({CANDIDATES_SQL}) c on c.pos = p.page_id, (select count(*) as n from {{pages}}) t
+from (select page_id, html, (select count(*) from {{pages}}) as n from {{pages}}) p
+join ({CANDIDATES_SQL}) c on c.pos = p.page_id
 """
 
 

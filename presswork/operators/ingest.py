@@ -74,7 +74,9 @@ def run_funnel(
     The duplicate-content rule ranks only rows that passed all earlier gates.
     Its winners come from a map-side combined ``min`` per hash, tested against
     the history once per hash, and go back to the rows by the unique key, so a
-    hash shared by a third of the pages is never gathered in one task.
+    hash shared by a third of the pages is never gathered in one task.  The
+    outcomes and the articles read the staged rows by column: the first never
+    touches a text, the second only texts that passed the gates.
     """
     rows = extract_content(pages, key)
     text = strip_ws(compose_text(F.col("title"), F.col("content")))
@@ -99,7 +101,9 @@ def run_funnel(
             .alias("gate"),
         )
     )
-    gated = stage(gated, "gated")
+    # Only rows that may still be saved need their text from here on.
+    needed = {c: F.when(F.col("gate").isNull(), F.col(c)) for c in ("title", "content", "keywords")}
+    gated = stage(gated.withColumns(needed), "gated")
 
     slim = gated.select(key, "url", "gate", "content_hash")
     if history_urls is not None:
@@ -116,7 +120,7 @@ def run_funnel(
         "url",
         F.coalesce("gate", F.when(F.col("_first"), F.lit("saved")), F.lit("duplicate_content")).alias("outcome"),
     )
-    saved = gated.join(winners.select(key), key, "left_semi")
+    saved = gated.where(F.col("gate").isNull()).join(winners.select(key), key, "left_semi")
     return IngestRun(outcomes, to_articles(saved, key, scraped_at))
 
 

@@ -87,17 +87,18 @@ def page_cache_key(url: Column) -> Column:
     return F.sha2(url, 256)
 
 
-def write_pages(df: DataFrame, path: str) -> None:
+def write_pages(df: DataFrame, path: str, digits: int = 1) -> None:
     """Page cache keyed by URL digest, in 256 even partitions by its first two digits.
 
-    Rows are grouped by the partition and a second digit, so that each partition
-    directory gets a bounded number of files instead of one per task.
+    Rows are grouped by the partition and ``digits`` further digits, so that each
+    partition directory gets at most ``16 ** digits`` files instead of one per
+    task.  Digests are uniform; take more digits for more data.
     """
     keyed = df.withColumn("cache_key", page_cache_key(F.col("url"))).withColumn(
         "shard", F.substring("cache_key", 1, 2)
     )
     (
-        keyed.repartition(F.col("shard"), F.substring("cache_key", 3, 1))
+        keyed.repartition(F.col("shard"), F.substring("cache_key", 3, digits))
         .write.mode("append").partitionBy("shard").parquet(path)
     )
 
