@@ -94,20 +94,23 @@ def extract_content(pages: DataFrame, key: str, keep: tuple[str, ...] = ("url",)
     for the paragraph shuffle of the second rule.
     """
     first = (
-        pages.withColumn("_clean", H.strip_noise(F.col("html")))
-        .withColumn("_main", F.when(H.is_html(F.col("html")), H.main_text(F.col("_clean"))))
+        pages.withColumn("is_html", H.is_html(F.col("html")))
+        .withColumn("_clean", H.strip_noise(F.col("html")))
+        .withColumn("_main", F.when(F.col("is_html"), H.main_text(F.col("_clean"))))
+        .withColumn("settled", F.col("_main").isNotNull() | ~F.col("is_html"))
         .select(
             key,
             *keep,
-            H.is_html(F.col("html")).alias("is_html"),
+            "is_html",
             H.title_of(F.col("_clean")).alias("title"),
             F.col("_main").alias("content"),
-            F.when(F.col("_main").isNull() & H.is_html(F.col("html")), F.col("html")).alias("html"),
+            F.when(~F.col("settled"), F.col("html")).alias("html"),
+            "settled",
         )
     )
     first = stage(first, "extract")
-    settled = first.where(F.col("html").isNull()).drop("html")
-    rest = first.where(F.col("html").isNotNull())
+    settled = first.where("settled").drop("html", "settled")
+    rest = first.where("not settled").drop("settled")
     blocks = largest_block(rest, key)
     other = (
         rest.join(blocks, key, "left")
