@@ -6,7 +6,7 @@ from catalog import fixtures as fx
 from catalog import models
 from catalog.registry import query
 from presswork import schemas
-from presswork.operators import metrics
+from presswork.plans import corpus
 from presswork.session import stage_path
 from presswork.sources import config as source_config
 from presswork.sources import tables
@@ -74,22 +74,18 @@ def discovered_urls(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "url")
 
 
-@query("model_results_json")
+@query("model_results_json", f"""{models.MODELS_CTE}
+select 'stage1' as stage, 1 as num_labels, model as name, round(max(case when split = 'val' then micro_f1 end), 6) as val_micro_f1,
+round(max(case when split = 'test' then micro_f1 end), 6) as test_micro_f1 from results where stage = 'stage1' group by model""")
 def model_results_json(spark, sf):
     """Result documents of the rule models, written and read back."""
-    wide = metrics.compare_models(models._results(spark, sf).where("stage = 'stage1'"))
-
-    def group(s):
-        return F.struct(*[F.col(f"{s}_{m}").alias(m) for m in ("micro_f1", "macro_f1", "hamming_loss")])
-
-    rows = wide.select("pos", F.col("model").alias("name"), F.col("training_time").alias("training_time_minutes"),
-                       group("val").alias("val_metrics"), group("test").alias("test_metrics"))
+    rows = models._results(spark, sf).where("stage = 'stage1'")
     path = stage_path(spark, "results")
-    tables.write_results(tables.results_document(rows, "stage1", ["quality"]), path)
+    tables.write_results(corpus.results_document(rows, "stage1", ["quality"]), path)
     doc = tables.read_results(spark, path)
     return doc.select("stage", "num_labels", F.inline("models")).select(
-        "stage", "num_labels", "name", F.col("val_metrics.micro_f1").alias("val_micro_f1"),
-        F.col("test_metrics.micro_f1").alias("test_micro_f1"))
+        "stage", "num_labels", "name", F.round("val_metrics.micro_f1", 6).alias("val_micro_f1"),
+        F.round("test_metrics.micro_f1", 6).alias("test_micro_f1"))
 
 
 SITE_SQL = """select chunk, page_id as pos, regexp_extract(url, '//([^/]*)', 1) as domain,

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog import labels as L
 from catalog.registry import query
-from presswork import config
 from presswork.config import CATEGORIES
 from presswork.functions.text import label_display
 from presswork.operators import splits, stats

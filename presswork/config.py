@@ -59,6 +59,10 @@ MAX_DF = 0.95
 SPLIT_SEED = 42
 MIN_SPLIT_ROWS = 100
 
+# ---- fixed values: messages -----------------------------------------------
+INPUT_ERROR = "Please provide valid article text (at least {} characters)"
+SCORING_ERROR = "An error occurred: scoring failed"
+
 # ---- fixed values: URL rules ----------------------------------------------
 ARTICLE_URL_PARTS = [
     r"/20\d{2}/", r"/202\d/", r"/article/", r"/news/", r"/articles/", r"/posts?/", r"/blog/",

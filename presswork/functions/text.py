@@ -51,9 +51,7 @@ def preview(c: Column, n: int = config.PREVIEW_CHARS) -> Column:
 def input_error(c: Column, min_chars: int = config.MIN_INPUT_CHARS) -> Column:
     """NULL for acceptable input, else the reason it is refused."""
     too_short = F.length(strip_ws(F.coalesce(c, F.lit("")))) < min_chars
-    return F.when(
-        too_short, F.lit(f"Please provide valid article text (at least {min_chars} characters)")
-    )
+    return F.when(too_short, F.lit(config.INPUT_ERROR.format(min_chars)))
 
 
 def tokenize(c: Column) -> Column:

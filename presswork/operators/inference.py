@@ -144,6 +144,6 @@ def analyze(
         failed = failed | (F.col("_gated") & F.col("_stage2").isNull())
     return (
         df.withColumn("ethics", issue_scores(F.col("_stage2")))
-        .withColumn("error", F.when(failed, F.lit("An error occurred: scoring failed")).otherwise(F.col("error")))
+        .withColumn("error", F.when(failed, F.lit(config.SCORING_ERROR)).otherwise(F.col("error")))
         .drop("_valid", "_stage1", "_gated", "_stage2")
     )

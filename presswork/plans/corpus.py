@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from presswork.operators.ingest import IngestRun, history_keys, run_funnel
 from presswork.operators.scoring import widen_in_row
 from presswork.operators.train import MultiLabelModel, fit_multilabel, predict_multilabel
 from presswork.session import stage
+from presswork.sources import tables
 from presswork.sources.config import SourceConfig
 from presswork.sources.tables import require_columns
 
@@ -86,6 +88,30 @@ def single_label_splits(articles: DataFrame, flags: DataFrame, flag_order: str,
     return {"main": main, "issues": splits.split_columns(issues, "text", config.ISSUES)}
 
 
+def results_table(results: dict[str, StageResult], stage_name: str) -> DataFrame:
+    """Metric rows of several trained models of a stage, in the order given, for comparison and for the best pick."""
+    parts = [
+        r.metrics.select(
+            F.lit(stage_name).alias("stage"), F.lit(pos).alias("pos"), F.lit(name).alias("model"),
+            F.lit(r.seconds).alias("training_time"), "split", "micro_f1", "macro_f1", "hamming_loss")
+        for pos, (name, r) in enumerate(results.items())
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def results_document(results: DataFrame, stage_name: str, labels: Sequence[str]) -> DataFrame:
+    """The nested result document of a stage from its metric rows; times in minutes."""
+    wide = metrics.compare_models(results)
+
+    def group(split: str) -> Column:
+        return F.struct(*[F.col(f"{split}_{m}").alias(m) for m in ("micro_f1", "macro_f1", "hamming_loss")])
+
+    rows = wide.select(
+        "pos", F.col("model").alias("name"), (F.col("training_time") / 60).alias("training_time_minutes"),
+        group("val").alias("val_metrics"), group("test").alias("test_metrics"))
+    return tables.results_document(rows, stage_name, labels)
+
+
 @dataclass
 class StageResult:
     """A trained stage: the model, its wall time and its metrics per split."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def build_session(app: str = "presswork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on.
 
@@ -38,16 +40,17 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: ``spark.checkpoint.dir``.
 
     Only a local session may run without that setting; it then gets a folder
-    of its own, which every later call reuses.
+    of its own, which later calls of the same application reuse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="run-")
+    return _LOCAL_DIRS[application]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

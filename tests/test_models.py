@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from presswork.operators import features, train
+from presswork.operators import features, metrics, train
 from presswork.plans import corpus
 from presswork.sources.models import load_model, save_model
 
@@ -67,3 +67,8 @@ def test_train_stage(spark, trained):
     result = corpus.train_stage(split, ["pet", "never"], c=100.0)
     got = {r["split"]: r["hamming_loss"] for r in result.metrics.collect()}
     assert got == {"val": 0.0, "test": 0.0} and result.seconds > 0
+    table = corpus.results_table({"one": result, "two": result}, "stage1")
+    assert [r["model"] for r in metrics.best_model(table).collect()] == ["one"]
+    doc = corpus.results_document(table, "stage1", ["pet", "never"]).first()
+    assert [m["name"] for m in doc["models"]] == ["one", "two"] and doc["num_labels"] == 2
+    assert doc["models"][0]["test_metrics"]["hamming_loss"] == 0.0
