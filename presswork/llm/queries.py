@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from presswork.llm.common import table
 from presswork.llm.decontaminate import contaminations
 from presswork.llm.labelled import fold
+from presswork.llm.mincut import extract_main_text
 from presswork.llm.packing import pack_documents
+from presswork.llm.quotes import build_conversations
 from presswork.llm.rules import fit_quality, score_quality
 from presswork.llm.sharding import assign_shards
 from presswork.llm.simhash import near_duplicates
@@ -59,6 +61,16 @@ def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+@query("op2_reply_order")
+def reply_order(spark: SparkSession, sf: str) -> DataFrame:
+    return build_conversations(table(spark, sf, "conversations"))
+
+
+@query("op3_cut_extraction")
+def cut_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_main_text(table(spark, sf, "pages"))
+
+
 @query("op4_edit_decontamination")
 def edit_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -84,7 +96,8 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_suffix_repeats")
 def suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep=None).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query("op9_compression_toxicity")

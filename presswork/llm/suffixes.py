@@ -434,7 +434,7 @@ def removed(n: int, pos: np.ndarray, strings: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def _finish(names: list[str], schema: pa.Schema):
+def _finish(names: list[str], schema: pa.Schema, keep: str | None):
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
         parts = [_unpacked(x) for x in marks.column("payload").to_pylist()]
         where: dict = {}
@@ -457,10 +457,13 @@ def _finish(names: list[str], schema: pa.Schema):
                     gone = removed(len(text), pos[low:high], strings[low:high])
                 kept = text[~gone].tobytes()
                 spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-                for column, value in zip(columns, (len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)):
+                told = [len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()]
+                if keep:
+                    told.append(kept if keep == "bytes" else kept.decode("utf-8", "ignore"))
+                for column, value in zip(columns, told):
                     column.append(value)
             arrays = [batch.column(i) for i in range(3, batch.num_columns)]
-            done.append(pa.RecordBatch.from_arrays([*arrays, *map(pa.array, columns)], names))
+            done.append(pa.RecordBatch.from_arrays([*arrays, *map(pa.array, columns[:5 if keep else 4])], names))
         return pa.Table.from_batches(done).cast(schema) if done else schema.empty_table()
 
     return run
@@ -468,19 +471,22 @@ def _finish(names: list[str], schema: pa.Schema):
 
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 32 << 20,
-    place_bytes: int = 24 << 20, hot_ties: int = 1 << 17,
+    place_bytes: int = 24 << 20, hot_ties: int = 1 << 17, keep: str | None = "bytes",
 ) -> DataFrame:
-    """Every row of ``docs``, its text replaced by ``kept`` (binary), with what was removed.
+    """Every row of ``docs``, its text replaced by what is kept of it, and what was removed.
 
-    New columns: n_bytes, n_removed, n_spans (long), kept_sha256, kept. A null text is
-    empty; texts under ``LENGTH`` bytes lose nothing. Rows with equal keys do not
+    New columns: n_bytes, n_removed, n_spans (long), kept_sha256, and ``kept``: binary
+    for keep="bytes", for keep="text" a string without the bytes that are no whole
+    character any more; with keep=None it is left out. A null text is empty; texts under ``LENGTH`` bytes lose nothing. Rows with equal keys do not
     remove from each other; a null key counts as larger than any other. Columns of
     the input with these names are replaced. An empty table gives an empty one.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    if keep:
+        new["kept"] = {"bytes": "binary", "text": "string"}[keep]
     others = [c for c in docs.columns if c not in (text, *new)]
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
     id_ = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
@@ -501,8 +507,8 @@ def remove_repeats(
         .mapInArrow(_compare_ties(home), "place int, payload binary"), "suffix-ends")
     marks = sorted_.where(F.col("marks").isNotNull()).select("place", F.col("marks").alias("payload")).union(ends)
     kinds = docs.select(*others).schema
-    for name, kind in zip(new, ["long", "long", "long", "string", "binary"]):
+    for name, kind in new.items():
         kinds = kinds.add(name, kind)
     whole = rows.mapInArrow(_send_texts(home), "place int, texts binary")
     return whole.groupBy("place").cogroup(marks.groupBy("place")).applyInArrow(
-        _finish([*others, *new], to_arrow_schema(kinds)), kinds)
+        _finish([*others, *new], to_arrow_schema(kinds), keep), kinds)
