@@ -44,8 +44,10 @@ ANCHOR = 20
 WINDOW = LENGTH - ANCHOR + 1
 REACH = WINDOW - 1
 #: Bytes hashed at a time, and the context that a cut of a longer text keeps on both sides.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 PAD = 128
+#: Bytes of text whose samples a worker holds at a time.
+CHUNK = 8 << 20
 NO_KEY = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -187,9 +189,7 @@ def _rows(sent: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _send_samples(buckets: int, home: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _parts(batches):
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = _bytes_of(batch.column(2))
             doc, pos, order, tie = sample_texts(data, offsets)
@@ -217,6 +217,16 @@ def _send_samples(buckets: int, home: int):
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of about CHUNK bytes of text, or of one text."""
+    for batch in batches:
+        offsets, low = _bytes_of(batch.column(2))[1], 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, side="right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
@@ -470,8 +480,8 @@ def _finish(names: list[str], schema: pa.Schema, keep: str | None):
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 32 << 20,
-    place_bytes: int = 24 << 20, hot_ties: int = 1 << 17, keep: str | None = "bytes",
+    docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20,
+    place_bytes: int = 16 << 20, hot_ties: int = 1 << 17, keep: str | None = "bytes",
 ) -> DataFrame:
     """Every row of ``docs``, its text replaced by what is kept of it, and what was removed.
 
