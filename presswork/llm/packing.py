@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -34,6 +35,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 #: Letters followed by ASCII marks other than the apostrophe: always two words to the tokenizer.
 _WORD_AND_MARKS = re.compile(rb"(" + _LETTER + rb"+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: Byte-level tokenizers write the bytes that have no visible character as the characters from 256 on.
+_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _NOTHING = re.compile(rb"(?!)")
 #: Characters tokenised before the caches are looked at again, and most words kept in them.
 SLICE = 1 << 21
@@ -45,7 +48,7 @@ class WordTokenizer:
 
     Words are encoded once and looked up afterwards. ``lower`` says that the tokenizer
     lower-cases; texts with combining marks are left as they are, since composing
-    comes first. The last token of each word must be marked by ``word_end``.
+    comes first. Byte-level tokenizers only.
     """
 
     _made: dict[str, WordTokenizer] = {}
@@ -57,16 +60,18 @@ class WordTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __init__(self, path: str, lower: bool = True, word_end: str = "</w>"):
+    def __init__(self, path: str, lower: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
+        probe = "chevêche straße"
+        self._encode_words(set(probe.encode().split()))
+        if b"".join(map(self.words.get, probe.encode().split())) != np.array(
+                self.tokenizer.encode(probe, add_special_tokens=False).ids, "<u4").tobytes():
+            raise ValueError("not a byte-level tokenizer that parts words at white space")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -74,22 +79,19 @@ class WordTokenizer:
             if len(cache) > CACHE_WORDS:
                 for old in list(islice(cache, CACHE_WORDS // 2)):
                     del cache[old]
-        split, missing, found = [], set(), []
+        split, missing = [], set()
         for text in texts:
             data = text.encode("utf-8", "replace")
             if self.lower and b"\xcc" not in data and b"\xcd" not in data:
                 data = data.translate(LOWER)
             chunks = data.split()
-            parts = list(map(self.chunks.get, chunks))
-            if None in parts:
-                missing.update([c for c, p in zip(chunks, parts) if p is None])
-                parts = None
-            split.append((chunks, parts))
+            missing.update(chunks)
+            split.append(chunks)
+        missing -= self.chunks.keys()
         if missing:
             self._learn(missing)
-        for chunks, parts in split:
-            found.append(b"".join(parts if parts is not None else map(self.chunks.__getitem__, chunks)))
-        return found
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
 
     def _learn(self, missing: set[bytes]) -> None:
         plain, pairs, odd = [], [], []
@@ -112,15 +114,13 @@ class WordTokenizer:
             chunks[chunk] = words[word] + words[marks]
 
     def _encode_words(self, new: set[bytes]) -> None:
-        """Runs of letters: one word each, so that a single call encodes them all."""
-        if not new:
-            return
-        ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-        if len(ends) != len(new):
-            raise ValueError("this tokenizer does not mark the last token of each word")
-        data = ids.tobytes()
-        self.words.update(zip(new, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        """Runs of letters are one word each: the model takes them without the steps that find words."""
+        tokenize, words = self.tokenizer.model.tokenize, self.words
+        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        for word in new:
+            plain = word.decode("latin-1") if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(_BYTES)
+            ids = [token.id for token in tokenize(plain)]
+            words[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
     def _encode_marks(self, new, into: dict[bytes, bytes]) -> None:
         new = list(new)
@@ -246,7 +246,7 @@ def patterns(counts: np.ndarray, depth: int = 3) -> list[tuple[dict[int, int], i
 
 
 def pack(rows: DataFrame, key: str = "doc_id", window: int = 2048, unit: int = 8, depth: int = 3,
-         salt_rows: int = 100_000) -> DataFrame:
+         salt_rows: int = 4_096) -> DataFrame:
     """``rows`` of ``pieces`` with sequence_id and offset (long, gapless from 0 in the sequence).
 
     No sequence is longer than ``window``. Rows that are equal in all columns are
