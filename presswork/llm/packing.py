@@ -40,7 +40,7 @@ _BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _NOTHING = re.compile(rb"(?!)")
 #: Characters tokenised before the caches are looked at again, and most words kept in them.
 SLICE = 1 << 21
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class WordTokenizer:
@@ -159,6 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 arrays += [pa.array(columns[4], pa.binary())] * keep_ids
                 yield pa.RecordBatch.from_arrays(arrays, [key, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
                 low = high
+        encoder.chunks.clear()  # the words stay for the worker's next task
 
     rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema)

@@ -44,10 +44,10 @@ ANCHOR = 20
 WINDOW = LENGTH - ANCHOR + 1
 REACH = WINDOW - 1
 #: Bytes hashed at a time, and the context that a cut of a longer text keeps on both sides.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 PAD = 128
 #: Bytes of text whose samples a worker holds at a time.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 NO_KEY = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -238,7 +238,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
     """One bucket at a time: its payloads, and the rows that only pass through."""
     bucket, held, through = None, [], []
     for batch in batches:
-        for b, place, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for row in range(batch.num_rows):
+            b, place, payload = (batch.column(i)[row].as_py() for i in range(3))
             if b != bucket:
                 if bucket is not None:
                     yield bucket, held, through
@@ -264,7 +265,11 @@ def _sort_bucket(buckets: int, home: int, hot_ties: int):
         for bucket, payloads, through in _by_bucket(batches):
             rows = [(place, payload, None) for place, payload in through]
             if payloads:
-                ids, keys, n, pos, o1, o2, t1, t2 = (np.concatenate(x) for x in zip(*map(_unpacked, payloads)))
+                parts = []
+                while payloads:
+                    parts.append(_unpacked(payloads.pop()))
+                ids, keys, n, pos, o1, o2, t1, t2 = (np.concatenate(x) for x in zip(*parts))
+                del parts
                 ids, keys = np.repeat(ids, n), np.repeat(keys, n)
                 order = o1.astype(np.uint64) | o2.astype(np.uint64) << _U(32)
                 tie = t1.astype(np.uint64) | t2.astype(np.uint64) << _U(32)
@@ -480,8 +485,8 @@ def _finish(names: list[str], schema: pa.Schema, keep: str | None):
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20,
-    place_bytes: int = 16 << 20, hot_ties: int = 1 << 17, keep: str | None = "bytes",
+    docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 12 << 20,
+    place_bytes: int = 12 << 20, hot_ties: int = 1 << 17, keep: str | None = "bytes",
 ) -> DataFrame:
     """Every row of ``docs``, its text replaced by what is kept of it, and what was removed.
 

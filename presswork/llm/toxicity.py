@@ -37,7 +37,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 2_048, 8_192
 LARGEST = 3
 #: A telling window stands in this share of the toxic documents at least; the calibration picks the best of these.
 LEAST_SHARES = (0.01, 0.02, 0.03, 0.05)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def words(text: str | None) -> list[bytes]:
