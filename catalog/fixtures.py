@@ -30,7 +30,9 @@ STAGE2 = Lexicon(dict(zip(ISSUES, [
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet"))
+    # only a caller that names a number pays for a shuffle of the scan: the bench, whose tables are one file each
+    partitions = spark.conf.get("spark.presswork.partitions", None)
+    return spread(spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet"), int(partitions) if partitions else None)
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +104,8 @@ from ({CANDIDATES_SQL}) c
 _MAP_DOC = """
 select chunk, concat('https://maps.example.org/map-', chunk, '.xml') as url,
        concat('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', items,
-              case when chunk % 7 = 3 then '' else '</urlset>' end) as xml
+              case when chunk % 7 = 3 then '' else '</urlset>' end,
+              case when chunk % 3 = 1 then chr(10) || '<!-- made by a generator -->' || chr(10) else '' end) as xml
 from (select chunk, {agg_map} as items from chunked group by chunk) m
 """
 _INDEX_DOC = """
@@ -111,7 +114,7 @@ select idx as chunk, concat('https://maps.example.org/index-', idx, '.xml') as u
               '<sitemap><loc>https://maps.example.org/index-', idx, '.xml</loc></sitemap>',
               '<sitemap><loc> https://maps.example.org/index-', 2 * idx + 1, '.xml </loc></sitemap>',
               '<sitemap><loc><![CDATA[https://maps.example.org/index-', 2 * idx + 2, '.xml]]></loc></sitemap>',
-              '</sitemapindex>') as xml
+              '</sitemapindex>', case when idx % 3 = 0 then ' <!-- generated --> <?done?>' else '' end) as xml
 from (select idx, {agg_index} as items
       from (select distinct chunk, cast(floor(chunk / 10) as bigint) as idx from chunked) d group by idx) i
 """
@@ -223,4 +226,4 @@ def duck_lexicon(lexicon: Lexicon, chars: int | None, name: str, source: str = "
 {name} as (select doc_id, pos, label, hits / (hits + 2.0) as score from {name}_hits)"""
 
 
-SCORES_CTE = "with " + duck_lexicon(STAGE1, 4000, "s1") + ",\n" + duck_lexicon(STAGE2, 5000, "s2")
+SCORES_CTE = "with " + duck_lexicon(STAGE1, None, "s1") + ",\n" + duck_lexicon(STAGE2, None, "s2")

@@ -9,8 +9,8 @@ from presswork import config
 from presswork.functions import text as X
 from presswork.operators import inference, scoring
 
-STAGE1 = inference.lexicon_stage(fx.STAGE1, config.STAGE1_CHARS)
-STAGE2 = inference.lexicon_stage(fx.STAGE2, config.STAGE2_CHARS)
+STAGE1 = inference.lexicon_stage(fx.STAGE1)
+STAGE2 = inference.lexicon_stage(fx.STAGE2)
 BEST1 = "best as (select doc_id, label as category, score as confidence from s1 qualify row_number() over (partition by doc_id order by score desc, pos) = 1)"
 
 
@@ -46,7 +46,7 @@ def sigmoid(spark, sf):
 @query("issue_scores", f"{fx.SCORES_CTE} select doc_id, label, round(score, 6) as score from s2")
 def issue_scores(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
-    scored = scoring.score_lexicon(docs, fx.STAGE2, "text", "scores", config.STAGE2_CHARS)
+    scored = scoring.score_lexicon(docs, fx.STAGE2, "text", "scores")
     return scored.select("doc_id", inference.issue_scores(F.col("scores")).alias("ethics")).select(
         "doc_id", F.explode("ethics").alias("label", "score")).withColumn("score", F.round("score", 6))
 
@@ -55,14 +55,14 @@ def issue_scores(spark, sf):
 round(score * 100, 1) as pct, case when score >= 0.5 then 'detected' else 'safe' end as status from s2""")
 def issue_flags(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
-    scored = scoring.score_lexicon(docs, fx.STAGE2, "text", "scores", config.STAGE2_CHARS)
+    scored = scoring.score_lexicon(docs, fx.STAGE2, "text", "scores")
     return inference.issue_flags(scored, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 # Every 20th text is cut to nine characters, so that it is refused.
 REQUESTS_SQL = "select doc_id, case when doc_id % 20 = 3 then substring(text, 1, 9) else text end as text from {documents}"
-ANSWERS_CTE = f"""with requests as ({fx.duck(REQUESTS_SQL)}), {fx.duck_lexicon(fx.STAGE1, 4000, 's1', 'requests')},
-{fx.duck_lexicon(fx.STAGE2, 5000, 's2', 'requests')}, {BEST1},
+ANSWERS_CTE = f"""with requests as ({fx.duck(REQUESTS_SQL)}), {fx.duck_lexicon(fx.STAGE1, None, 's1', 'requests')},
+{fx.duck_lexicon(fx.STAGE2, None, 's2', 'requests')}, {BEST1},
 valid as (select doc_id, text, length(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')) >= 10 as ok from requests),
 issues as (select doc_id, string_agg(label || '=' || cast(cast(round(score * 1000) as int) as varchar), '|' order by pos) as ethics from s2 group by doc_id),
 answers as (select v.doc_id, case when ok then category end as category, case when ok then round(confidence, 6) end as confidence,
@@ -96,7 +96,7 @@ def two_stage_ungated(spark, sf):
 @query("two_stage_batch_model", f"{ANSWERS_CTE} select doc_id, category, confidence, ethics, error from answers")
 def two_stage_batch_model(spark, sf):
     """The second stage as a batch model behind the gate."""
-    second = inference.batch_stage(config.ISSUES, L.lexicon_scorer(fx.STAGE2), config.STAGE2_CHARS)
+    second = inference.batch_stage(config.ISSUES, L.lexicon_scorer(fx.STAGE2))
     return flat_answers(inference.analyze(fx.from_sql(spark, sf, REQUESTS_SQL), STAGE1, second))
 
 

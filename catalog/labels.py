@@ -20,7 +20,7 @@ GATE = "stage1_artificial_intelligence"
 def scored1(spark, sf):
     """doc_id and in-row stage-1 scores."""
     return scoring.score_lexicon(
-        fx.documents(spark, sf).select("doc_id", "text"), fx.STAGE1, "text", "scores", config.STAGE1_CHARS
+        fx.documents(spark, sf).select("doc_id", "text"), fx.STAGE1, "text", "scores"
     ).select("doc_id", "scores")
 
 
@@ -31,7 +31,7 @@ def _wide(df, lexicon, labels, columns, chars, *keep):
 
 def wide1(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
-    return _wide(docs, fx.STAGE1, CATEGORIES, S1_COLS, config.STAGE1_CHARS)
+    return _wide(docs, fx.STAGE1, CATEGORIES, S1_COLS, None)
 
 
 def combined(spark, sf):
@@ -40,9 +40,9 @@ def combined(spark, sf):
     The second stage sees only texts over the gate.
     """
     docs = fx.documents(spark, sf).select("doc_id", "text")
-    first = stage(_wide(docs, fx.STAGE1, CATEGORIES, S1_COLS, config.STAGE1_CHARS, "text"))
+    first = stage(_wide(docs, fx.STAGE1, CATEGORIES, S1_COLS, None, "text"))
     gated = labelling.in_gate(first).select("doc_id", "text")
-    second = _wide(gated, fx.STAGE2, ISSUES, S2_COLS, config.STAGE2_CHARS)
+    second = _wide(gated, fx.STAGE2, ISSUES, S2_COLS, None)
     return stage(labelling.combine_stages(first.drop("text"), second, "doc_id"))
 
 
@@ -78,7 +78,7 @@ def score_lexicon(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
     both = [
         scoring.to_long(scoring.score_lexicon(docs, lex, "text", "scores", n), "doc_id")
-        for lex, n in ((fx.STAGE1, config.STAGE1_CHARS), (fx.STAGE2, config.STAGE2_CHARS))
+        for lex, n in ((fx.STAGE1, None), (fx.STAGE2, None))
     ]
     return both[0].unionByName(both[1]).select("doc_id", "label", F.round("score", 6).alias("score"))
 
@@ -98,12 +98,12 @@ def lexicon_scorer(lexicon):
 @query("score_pandas", f"{fx.SCORES_CTE} {LONG_OUT} from s1")
 def score_pandas(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
-    scored = scoring.score_labels(docs, CATEGORIES, lexicon_scorer(fx.STAGE1), "text", "scores", config.STAGE1_CHARS)
+    scored = scoring.score_labels(docs, CATEGORIES, lexicon_scorer(fx.STAGE1), "text", "scores")
     return scoring.to_long(scored, "doc_id").select("doc_id", "label", F.round("score", 6).alias("score"))
 
 
 SINGLE_CTE = f"""with texts as (select doc_id, split_part(text, chr(10), 1) || ' ' || array_to_string(
-  string_split(trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')), ' ')[1:5000], ' ') as text from documents),
+  string_split(trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')), ' '), ' ') as text from documents),
 {fx.duck_lexicon(fx.STAGE1, None, 'ss', 'texts')},
 single as (select doc_id, label from ss qualify row_number() over (partition by doc_id order by score desc, pos) = 1)"""
 
@@ -128,7 +128,7 @@ def scores_wide(spark, sf):
 @query("attach_scores", f"{WIDE_CTE} select d.doc_id, d.source as domain, d.lang, {rounded(S1_COLS)} from documents d join wide1 w on w.doc_id = d.doc_id")
 def attach_scores(spark, sf):
     rows = fx.documents(spark, sf).select("doc_id", "source", "lang", "text")
-    scored = scoring.score_lexicon(rows, fx.STAGE1, "text", "scores", config.STAGE1_CHARS)
+    scored = scoring.score_lexicon(rows, fx.STAGE1, "text", "scores")
     wide = scoring.widen_in_row(scored, CATEGORIES)
     return wide.select("doc_id", F.col("source").alias("domain"), "lang", *[
         F.round(F.col(f"`{n}`"), 6).alias(c) for n, c in zip(CATEGORIES, S1_COLS)])
@@ -155,7 +155,7 @@ FLAG_COLS = [label_key(n) for n in ISSUES]
 
 def _flags(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text").where("doc_id % 3 <> 0")
-    scored = scoring.score_lexicon(docs, fx.STAGE2, "text", "scores", config.STAGE2_CHARS)
+    scored = scoring.score_lexicon(docs, fx.STAGE2, "text", "scores")
     value = lambda invert: F.map_from_entries(F.transform("scores", lambda s: F.struct(
         s["label"], F.when((s["score"] >= 0.3) != F.lit(invert), 1).otherwise(0))))
     first = scored.select(F.col("doc_id").alias("id"), value(False).alias("_ai_ethics_binary"), F.col("doc_id").alias("line"))
@@ -169,7 +169,7 @@ FLAGS_CTE = f"""flag_rows as (select doc_id, label, case when doc_id % 50 = 1 th
 flags as (select doc_id, {", ".join(f"max(case when label = '{n}' then v end) as {c}" for n, c in zip(ISSUES, FLAG_COLS))} from flag_rows group by doc_id)"""
 
 
-@query("ethics_join", f"""{SINGLE_CTE}, {fx.duck_lexicon(fx.STAGE2, 5000, 's2')}, {FLAGS_CTE}
+@query("ethics_join", f"""{SINGLE_CTE}, {fx.duck_lexicon(fx.STAGE2, None, 's2')}, {FLAGS_CTE}
 select a.doc_id as id, {", ".join(f"coalesce(f.{c}, 0) as {c}" for c in FLAG_COLS)}
 from single a left join flags f on f.doc_id = a.doc_id where a.label = 'Artificial Intelligence'""")
 def ethics_join(spark, sf):

@@ -48,7 +48,7 @@ def truncate_chars(spark, sf):
 @query("truncate_words", f"""select doc_id, array_to_string(
   string_split(trim(regexp_replace(text, '{WS}+', ' ', 'g')), ' ')[1:5000], ' ') as text from documents""")
 def truncate_words(spark, sf):
-    return fx.documents(spark, sf).select("doc_id", X.truncate_words(F.col("text")).alias("text"))
+    return fx.documents(spark, sf).select("doc_id", X.truncate_words(F.col("text"), config.SINGLE_LABEL_WORDS).alias("text"))
 
 
 @query("clean_text", f"select doc_id, trim(regexp_replace(text, '{WS}+', ' ', 'g')) as text from documents")

@@ -125,8 +125,8 @@ def site_counts(spark, sf):
 # ---- sitemaps, feeds, crawl ---------------------------------------------------
 DOCS = f"with recursive docs as ({fx.DUCK_DOCS_SQL})"
 LOCS = f"""locs as (select kind, chunk, url, unnest(range(len(found))) as pos, unnest(found) as loc, closed from (
-  select kind, chunk, url, regexp_matches(xml, '</(urlset|sitemapindex)>$') as closed,
-         case when regexp_matches(xml, '</(urlset|sitemapindex)>$') then
+  select kind, chunk, url, regexp_matches(xml, '(?s)</(urlset|sitemapindex)>(\\s|<!--.*?-->|<\\?.*?\\?>)*$') as closed,
+         case when regexp_matches(xml, '(?s)</(urlset|sitemapindex)>(\\s|<!--.*?-->|<\\?.*?\\?>)*$') then
            list_transform(regexp_extract_all(xml, '<loc>(.*?)</loc>', 1),
              lambda v: trim(replace(replace(replace(v, '<![CDATA[', ''), ']]>', ''), '&amp;', '&')))
          else regexp_extract_all(xml, '<loc>(.*?)</loc>', 1) end as found from docs where kind <> 'feed') x)"""
@@ -151,14 +151,14 @@ def sitemap_urls(spark, sf):
 def sitemap_closure(spark, sf):
     seeds = spark.createDataFrame([(0, "https://maps.example.org/index-0.xml")], "site int, url string")
     docs = fx.docs(spark, sf).where("kind <> 'feed'")
-    return discover.expand_sitemaps(docs, seeds, CrawlLimits().sitemap_max_nested).select("url", "depth")
+    return discover.expand_sitemaps(docs, seeds, 5).select("url", "depth")
 
 
 FEED_URLS = """feed_raw as (select chunk, url,
   list_filter(list_transform(regexp_extract_all(xml, '(?s)<(?:item|entry)>(.*?)</(?:item|entry)>', 1),
     lambda e: trim(replace(case when contains(e, '</link>') then regexp_extract(e, '<link>([^<]*)</link>', 1)
            else regexp_extract(e, 'rel="alternate" href="([^"]*)"', 1) end, '&amp;', '&'))),
-    lambda u: u <> '')[1:15000] as found
+    lambda u: u <> '') as found
   from docs where kind = 'feed'),
 feed_pos as (select chunk, url, unnest(range(len(found))) as pos, unnest(found) as loc from feed_raw)"""
 
@@ -204,7 +204,7 @@ select s.site, s.depth, s.url as page, p.pos, p.loc from seen_10 s join crawl_po
 def category_crawl(spark, sf):
     seeds = spark.createDataFrame(
         [(0, "https://crawl.example.org/p/0"), (1, "https://crawl.example.org/p/7")], "site int, url string")
-    return discover.crawl_urls(fx.crawl_pages(spark, sf), seeds).withColumn("pos", F.col("pos").cast("long"))
+    return discover.crawl_urls(fx.crawl_pages(spark, sf), seeds, config.CRAWL_MAX_DEPTH, config.CRAWL_FANOUT).withColumn("pos", F.col("pos").cast("long"))
 
 
 SITES = [
@@ -230,4 +230,5 @@ select site_pos, url from per_site qualify row_number() over (partition by url o
 def discover_all(spark, sf):
     sites = spark.createDataFrame(SITES, "site_pos int, domain string, type string, feed string, url string")
     history = fx.pages(spark, sf).where("page_id % 7 = 0").select("url")
-    return discover.discover(sites, fx.crawl_pages(spark, sf), fx.docs(spark, sf), history).select("site_pos", "url")
+    stock = CrawlLimits(sitemap_max_nested=5, crawl_max_depth=config.CRAWL_MAX_DEPTH, crawl_fanout=config.CRAWL_FANOUT)
+    return discover.discover(sites, fx.crawl_pages(spark, sf), fx.docs(spark, sf), history, stock).select("site_pos", "url")

@@ -50,14 +50,11 @@ LONG_TEXT_CHARS = 10000
 RENDER_BELOW_CHARS = 1000
 BLOCK_MIN_CHARS = 500
 PARAGRAPH_MIN_CHARS = 50
-FEED_MAX_URLS = 5000
 CRAWL_MAX_DEPTH = 10
 CRAWL_FANOUT = 5
-VOCABULARY_SIZE = 10000
 MIN_DF = 2
 MAX_DF = 0.95
 SPLIT_SEED = 42
-MIN_SPLIT_ROWS = 100
 
 # ---- fixed values: messages -----------------------------------------------
 INPUT_ERROR = "Please provide valid article text (at least {} characters)"
@@ -95,13 +92,15 @@ ARTICLE_SELECTORS = [
 
 @dataclass(frozen=True)
 class CrawlLimits:
-    """Limits of an ingest run; the defaults are those of the stock source config."""
+    """Limits of an ingest run; numbers of URLs and levels are unlimited unless named."""
 
     min_content_chars: int = 500
     max_content_chars: int = 10000
-    max_urls_per_site: int = 15000
-    max_urls: int = 500000
-    sitemap_max_nested: int = 5
+    max_urls_per_site: int | None = None
+    max_urls: int | None = None
+    sitemap_max_nested: int | None = None
+    crawl_max_depth: int | None = None
+    crawl_fanout: int | None = None
 
 
 def label_key(name: str, stage: str | None = None) -> str:

@@ -136,7 +136,7 @@ def selector_pattern(selector: str) -> str:
 
 
 def _guard(selector: str) -> str:
-    """A substring that must occur in a page for the selector to match."""
+    """A substring that must occur in a page, in any case, for the selector to match."""
     return selector.strip('.[]"').replace('"', "").split("=")[-1]
 
 
@@ -195,7 +195,7 @@ def _selectors() -> Column:
     for selector in config.ARTICLE_SELECTORS:
         *outer, target = selector.split(" ")
         rows.append(F.struct(
-            F.lit(_guard(target)).alias("guard"),
+            F.lit(_guard(target).lower()).alias("guard"),
             F.lit(selector_pattern(outer[0]) if outer else None).cast("string").alias("outer"),
             F.lit(selector_pattern(target)).alias("pattern"),
         ))
@@ -223,13 +223,13 @@ def main_text(clean_html: Column) -> Column:
             ),
         )
 
-    return F.aggregate(
+    return let(F.lower(clean_html), lambda lowered: F.aggregate(
         _selectors(),
         F.lit(None).cast("string"),
         lambda found, s: F.when(found.isNotNull(), found).when(
-            F.contains(clean_html, s["guard"]), selected(s)
+            F.contains(lowered, s["guard"]), selected(s)
         ),
-    )
+    ))
 
 
 def long_paragraphs(clean_html: Column) -> Column:

@@ -39,7 +39,7 @@ def truncate_chars(c: Column, n: int) -> Column:
     return F.substring(F.coalesce(c, F.lit("")), 1, n)
 
 
-def truncate_words(c: Column, n: int = config.SINGLE_LABEL_WORDS) -> Column:
+def truncate_words(c: Column, n: int) -> Column:
     """First ``n`` white-space separated words joined by single spaces."""
     return F.array_join(F.slice(F.split(collapse_ws(c), " "), 1, n), " ")
 

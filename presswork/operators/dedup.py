@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 SALTS = 256
 RANK_BUCKET_HEX = 3  # 16 ** 3 buckets
-BROADCAST_ROWS = 10_000
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -91,11 +90,6 @@ def cap_total(df: DataFrame, group: list[str], order: list[str], n: int) -> Data
     )
 
 
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unmarked."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def rank_cutoffs(
     df: DataFrame, digest: Column, key: str, strata: list[str], ranks: dict[str, Column]
 ) -> DataFrame:
@@ -123,8 +117,12 @@ def rank_cutoffs(
         .drop("_rows")
     )
     within = Window.partitionBy(*strata, "_name", "_bucket").orderBy("_digest", key)
+    same = F.col("_bucket") == F.col("_in")
+    for s in strata:
+        same = same & F.col(s).eqNullSafe(F.col(f"_of_{s}"))
     found = (
-        slim.join(small_enough(targets), [*strata, "_bucket"])
+        slim.join(targets.withColumnsRenamed({s: f"_of_{s}" for s in strata}).withColumnRenamed("_bucket", "_in"), same)
+        .drop("_in", *[f"_of_{s}" for s in strata])
         .withColumn("_rank", F.row_number().over(within) + F.col("_offset"))
         .where(F.col("_rank") == F.col("_at"))
     )

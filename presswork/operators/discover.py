@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork import config
 from presswork.config import CrawlLimits
 from presswork.functions import html as H
 from presswork.functions import urls as U
@@ -17,7 +18,8 @@ from presswork.session import stage
 
 LOC = r"(?s)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?loc\s*>"
 PLAIN_LOC = r"<loc>(.*?)</loc>"
-ROOT_CLOSED = r"(?i)</(?:[\w.-]+:)?(?:urlset|sitemapindex)\s*>\s*$"
+#: The root's close tag; comments and processing instructions may follow it.
+ROOT_CLOSED = r"(?is)</(?:[\w.-]+:)?(?:urlset|sitemapindex)\s*>(?:\s++|<!--.*?-->|<\?.*?\?>)*+\z"
 IS_INDEX = r"(?i)<(?:[\w.-]+:)?(?:sitemapindex|sitemap)[\s>]"
 ENTRY = r"(?is)<(?:item|entry)(?:\s[^>]*)?>(.*?)</(?:item|entry)\s*>"
 
@@ -55,8 +57,8 @@ def sitemap_urls(docs: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame
     return array_rows(docs.where(~is_sitemap_index(F.col("xml"))), keep, locs, "loc")
 
 
-def expand_sitemaps(docs: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Stored sitemaps reachable from ``seeds`` (``site, url``): ``site, url, depth``, at most ``max_depth`` levels.
+def expand_sitemaps(docs: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Stored sitemaps reachable from ``seeds`` (``site, url``): ``site, url, depth``, at most ``max_depth`` levels if given.
 
     One join and one aggregate per level; the frontier is distinct, so a sitemap
     listed by many indexes is joined once, and a visited one is never followed
@@ -66,7 +68,7 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame, max_depth: int = 5) -> Da
     edges = stage(array_rows(indexes, ["src"], sitemap_locs(F.col("xml")), "url", None), "sitemap-edges")
     frontier = seeds.select("site", "url").distinct().withColumn("depth", F.lit(1))
     reached = frontier
-    for depth in range(2, max_depth + 1):
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         listed = frontier.select("site", F.col("url").alias("src")).join(edges, "src").select("site", "url")
         frontier = stage(_unseen(listed, reached).withColumn("depth", F.lit(depth)), f"sitemaps-{depth}")
         if frontier.isEmpty():
@@ -96,23 +98,23 @@ def _entry_link(entry: Column) -> Column:
     return F.when(text != "", text).otherwise(F.nullif(href, F.lit("")))
 
 
-def feed_urls(docs: DataFrame, max_urls: int = config.FEED_MAX_URLS, keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """The first ``max_urls`` entry links of each stored feed: kept columns, ``pos``, ``loc``."""
+def feed_urls(docs: DataFrame, max_urls: int | None = None, keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Entry links of each stored feed, its first ``max_urls`` if given: kept columns, ``pos``, ``loc``."""
     entries = F.regexp_extract_all(F.col("xml"), F.lit(ENTRY), F.lit(1))
     links = F.filter(F.transform(entries, _entry_link), lambda x: x.isNotNull())
-    return array_rows(docs, keep, F.slice(links, 1, max_urls), "loc")
+    return array_rows(docs, keep, links if max_urls is None else F.slice(links, 1, max_urls), "loc")
 
 
 # ---- category pages ----------------------------------------------------------
 def crawl_pages(
     pages: DataFrame,
     seeds: DataFrame,
-    max_depth: int = config.CRAWL_MAX_DEPTH,
-    fanout: int = config.CRAWL_FANOUT,
+    max_depth: int | None = None,
+    fanout: int | None = None,
 ) -> DataFrame:
     """Stored pages reached from ``seeds`` (``site, url``) over pagination links: ``site, url, depth``.
 
-    Breadth first: each page passes on its first ``fanout`` pagination targets
+    Breadth first: each page passes on its pagination targets, or its first ``fanout``,
     that no earlier level of the same site visited, whether or not it is stored.
     The ranking window covers one page's links; the level's edges come from one
     join on the page URL.
@@ -137,13 +139,13 @@ def crawl_pages(
     frontier = seeds.select("site", "url").distinct().withColumn("depth", F.lit(0))
     reached = frontier
     by_page = Window.partitionBy("site", "src").orderBy("pos")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = (
             frontier.select("site", F.col("url").alias("src"))
             .join(edges, "src")
             .join(reached.select("site", "url"), ["site", "url"], "left_anti")
             .withColumn("_rank", F.row_number().over(by_page))
-            .where(F.col("_rank") <= fanout)
+            .where(F.lit(True) if fanout is None else F.col("_rank") <= fanout)
             .select("site", "url")
             .distinct()
             .withColumn("depth", F.lit(depth))
@@ -167,8 +169,8 @@ def page_article_links(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> Da
 def crawl_urls(
     pages: DataFrame,
     seeds: DataFrame,
-    max_depth: int = config.CRAWL_MAX_DEPTH,
-    fanout: int = config.CRAWL_FANOUT,
+    max_depth: int | None = None,
+    fanout: int | None = None,
 ) -> DataFrame:
     """``site, depth, page, pos, loc`` of every likely article link on the reached pages."""
     reached = crawl_pages(pages, seeds, max_depth, fanout)
@@ -208,7 +210,7 @@ def discover(
     starts = sources.where("type = 'category' and url is not null and url <> ''").select(
         F.col("site_pos").alias("site"), "url"
     )
-    crawled = crawl_urls(pages, starts).select(
+    crawled = crawl_urls(pages, starts, limits.crawl_max_depth, limits.crawl_fanout).select(
         F.col("site").alias("site_pos"), F.col("page").alias("doc"), "depth", "pos", "loc"
     )
 
@@ -222,7 +224,7 @@ def candidate_urls(
     history_urls: DataFrame | None = None,
     limits: CrawlLimits = CrawlLimits(),
 ) -> DataFrame:
-    """Normalise, filter, deduplicate per site and overall, and cap found URLs.
+    """Normalise, filter, deduplicate per site and overall, and cap found URLs where ``limits`` says so.
 
     ``found`` has ``site_pos``, ``url`` and the ``order`` columns.
     """
@@ -233,9 +235,12 @@ def candidate_urls(
     urls = first_wins(urls.select("site_pos", "url", *order), ["site_pos", "url"], order)
     if history_urls is not None:
         urls = new_rows(urls, history_urls, "url")
-    urls = cap_per_group(urls, ["site_pos"], [*order, "url"], limits.max_urls_per_site)
+    if limits.max_urls_per_site is not None:
+        urls = cap_per_group(urls, ["site_pos"], [*order, "url"], limits.max_urls_per_site)
     urls = first_wins(urls, ["url"], ["site_pos", *order])
-    return cap_total(urls, ["site_pos"], [*order, "url"], limits.max_urls).select("site_pos", *order, "url")
+    if limits.max_urls is not None:
+        urls = cap_total(urls, ["site_pos"], [*order, "url"], limits.max_urls)
+    return urls.select("site_pos", *order, "url")
 
 
 def site_counts(candidates: DataFrame, site: str = "site_pos") -> DataFrame:

@@ -17,7 +17,7 @@ from presswork.operators.train import MultiLabelModel, predict_multilabel
 Stage = Callable[[DataFrame, str, str, str], DataFrame]
 
 
-def lexicon_stage(lexicon: Lexicon, max_chars: int | None = config.STAGE1_CHARS) -> Stage:
+def lexicon_stage(lexicon: Lexicon, max_chars: int | None = None) -> Stage:
     def run(df: DataFrame, text: str, out: str, where: str) -> DataFrame:
         scored = score_lexicon(df, lexicon, text, out, max_chars)
         return scored.withColumn(out, F.when(F.col(where), F.col(out)))
@@ -40,7 +40,7 @@ def model_stage(model: MultiLabelModel, display: dict[str, str] | None = None) -
     return run
 
 
-def batch_stage(labels: Sequence[str], scorer: Scorer, max_chars: int | None = config.STAGE2_CHARS,
+def batch_stage(labels: Sequence[str], scorer: Scorer, max_chars: int | None = None,
                 batch: int = 128) -> Stage:
     """A batch model as a stage; only chosen rows reach it."""
 

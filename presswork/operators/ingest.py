@@ -70,14 +70,20 @@ def run_funnel(
 ) -> IngestRun:
     """Extract, gate and deduplicate pages.
 
-    ``key`` orders the pages and must be unique, as must be the URL within a run.
-    The duplicate-content rule ranks only rows that passed all earlier gates.
-    Its winners come from a map-side combined ``min`` per hash, tested against
-    the history once per hash, and go back to the rows by the unique key, so a
-    hash shared by a third of the pages is never gathered in one task.  The
+    ``key`` orders the pages and must be unique.  The outcome is that of going
+    through them one by one: a page is ``duplicate_url`` once its URL was saved, in
+    the history or before it in this run, whatever else is wrong with it.  URLs of
+    the history are settled first and never reach extraction.  Who is saved is
+    found on (key, url, hash) rows in rounds of map-side combined minima, so a URL
+    or hash shared by a third of the pages is never gathered in one task.  The
     outcomes and the articles read the staged rows by column: the first never
     touches a text, the second only texts that passed the gates.
     """
+    settled = None
+    if history_urls is not None:
+        known = history_urls.select("url")
+        settled = pages.select(key, "url").join(known, "url", "left_semi").select(key, "url")
+        pages = new_rows(pages, known, "url")
     rows = extract_content(pages, key)
     text = strip_ws(compose_text(F.col("title"), F.col("content")))
     gated = (
@@ -106,24 +112,44 @@ def run_funnel(
     gated = stage(gated.withColumns(needed), "gated")
 
     slim = gated.select(key, "url", "gate", "content_hash")
-    if history_urls is not None:
-        seen = history_urls.select("url").distinct().withColumn("_seen", F.lit(True))
-        slim = slim.join(seen, "url", "left").withColumn(
-            "gate", F.when(F.col("_seen"), F.lit("duplicate_url")).otherwise(F.col("gate"))
-        )
-    winners = slim.where(F.col("gate").isNull()).groupBy("content_hash").agg(F.min(key).alias(key))
+    open_rows = slim.where(F.col("gate").isNull())
     if history_hashes is not None:
-        winners = new_rows(winners, history_hashes, "content_hash")
-    winners = winners.select(key, F.lit(True).alias("_first"))
-    outcomes = slim.join(winners, key, "left").select(
+        open_rows = new_rows(open_rows, history_hashes, "content_hash")
+    winners = first_of_both(open_rows.select(key, "url", "content_hash"), key, "url", "content_hash")
+    by_url = winners.where(F.col("url").isNotNull()).select("url", F.col(key).alias("_saved"))
+    outcomes = slim.join(by_url, "url", "left").join(winners.select(key, F.lit(True).alias("_first")), key, "left").select(
         key,
         "url",
-        F.coalesce("gate", F.when(F.col("_first"), F.lit("saved")), F.lit("duplicate_content")).alias("outcome"),
+        F.when(F.col("_first"), F.lit("saved"))
+        .when(F.col("_saved") < F.col(key), F.lit("duplicate_url"))
+        .otherwise(F.coalesce("gate", F.lit("duplicate_content"))).alias("outcome"),
     )
+    if settled is not None:
+        outcomes = outcomes.unionByName(settled.withColumn("outcome", F.lit("duplicate_url")))
     saved = gated.where(F.col("gate").isNull()).join(winners.select(key), key, "left_semi")
     return IngestRun(outcomes, to_articles(saved, key, scraped_at))
 
 
+def first_of_both(rows: DataFrame, key: str, one: str, other: str) -> DataFrame:
+    """The rows that are kept when going through ``rows`` by ``key`` and dropping those whose
+    ``one`` or ``other`` an earlier kept row has.  A NULL there equals nothing.
+
+    A row that is first of both its values is kept, its fellows fall out, and the
+    rest is looked at again until nothing is left.
+    """
+    alone = {c: F.coalesce(F.col(c), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias(f"_{c}") for c in (one, other)}
+    left = stage(rows.select(key, one, other, *alone.values()), "open")
+    kept = left.limit(0)
+    while not left.isEmpty():
+        firsts = left.groupBy(f"_{one}").agg(F.min(key).alias(key)).select(key)
+        both = firsts.join(left.groupBy(f"_{other}").agg(F.min(key).alias(key)).select(key), key, "left_semi")
+        won = stage(left.join(both, key, "left_semi"), "won")
+        kept = kept.unionByName(won)
+        left = stage(left.join(won.select(f"_{one}"), f"_{one}", "left_anti").join(
+            won.select(f"_{other}"), f"_{other}", "left_anti").select(*left.columns), "open")
+    return kept.select(key, one, other)
+
+
 def to_articles(saved: DataFrame, key: str, scraped_at: Column | None = None) -> DataFrame:
     """The article record of each saved page, with the page key in front."""
     when = F.current_timestamp() if scraped_at is None else scraped_at

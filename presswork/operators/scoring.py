@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswork.config import SINGLE_LABEL_WORDS, STAGE1_CHARS
 from presswork.functions.html import let
 from presswork.operators.rows import array_rows
 from presswork.functions.text import NON_WORD, compose_text, truncate_chars, truncate_words
@@ -77,7 +76,7 @@ def score_lexicon(
     lexicon: Lexicon,
     text: str = "content",
     out: str = "scores",
-    max_chars: int | None = STAGE1_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Add the in-row scores of a lexicon; no shuffle, no Python worker."""
     source = F.coalesce(F.col(text), F.lit("")) if max_chars is None else truncate_chars(F.col(text), max_chars)
@@ -93,7 +92,7 @@ def score_labels(
     scorer: Scorer,
     text: str = "content",
     out: str = "scores",
-    max_chars: int | None = STAGE1_CHARS,
+    max_chars: int | None = None,
     batch: int = 128,
     on_error: str = "zero",
     where: str | None = None,
@@ -180,10 +179,11 @@ def competing(scores: Column) -> Column:
 
 def classify_single(
     df: DataFrame, lexicon: Lexicon, title: str = "title", content: str = "content",
-    max_words: int = SINGLE_LABEL_WORDS,
+    max_words: int | None = None,
 ) -> DataFrame:
-    """Add ``label``: the winner of competing scores over title and the first words of the content."""
-    text = compose_text(F.col(title), truncate_words(F.col(content), max_words))
+    """Add ``label``: the winner of competing scores over title and content, or the content's first ``max_words``."""
+    body = F.col(content) if max_words is None else truncate_words(F.col(content), max_words)
+    text = compose_text(F.col(title), body)
     scored = score_lexicon(df.withColumn("_text", text), lexicon, "_text", "_scores", None)
     return scored.withColumn("label", top_label(competing(F.col("_scores")))["label"]).drop("_text", "_scores")
 

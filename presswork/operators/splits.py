@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork import config
-from presswork.operators.dedup import rank_cutoffs, small_enough
+from presswork.operators.dedup import rank_cutoffs
+from presswork.session import stage
 
 
 def split_digest(key: str, seed: int = config.SPLIT_SEED) -> Column:
@@ -35,10 +36,10 @@ def split_random(df: DataFrame, key: str, seed: int = config.SPLIT_SEED, order:
 
 
 def split_stratified(df: DataFrame, key: str, strata: str, seed: int = config.SPLIT_SEED) -> DataFrame:
-    """Exact 80/10/10 within each stratum, however large one stratum is."""
+    """Exact 80/10/10 within each stratum, however large one stratum is; NULL is a stratum like any other."""
     cuts = rank_cutoffs(df, split_digest(key, seed), key, [strata], _cuts("halves"))
-    cuts = cuts.select(strata, F.struct("test", "held_out").alias("_cuts"))
-    return _assign(df.join(small_enough(cuts), strata), key, seed)
+    cuts = stage(cuts.select(F.col(strata).alias("_stratum"), F.struct("test", "held_out").alias("_cuts")), "split-cuts")
+    return _assign(df.join(cuts, F.col(strata).eqNullSafe(F.col("_stratum"))).drop("_stratum"), key, seed)
 
 
 def _assign(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -66,7 +67,7 @@ def _cuts(order: str) -> dict[str, Column]:
     raise ValueError(f"unknown cut order: {order}")
 
 
-def enough_rows(df: DataFrame, minimum: int = config.MIN_SPLIT_ROWS) -> bool:
+def enough_rows(df: DataFrame, minimum: int) -> bool:
     """Whether at least ``minimum`` rows exist; reads no more than that many."""
     return df.limit(minimum).count() >= minimum
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from presswork.operators.features import fit_tfidf, with_terms
 
 
-ROWS_PER_TASK = 20_000
 
 
 @dataclass
@@ -40,6 +39,7 @@ def fit_multilabel(
     train: DataFrame,
     labels: Sequence[str],
     text: str = "content",
+    size: int = 10_000,
     c: float = 1.0,
     max_iter: int = 1000,
     tol: float = 1e-4,
@@ -55,7 +55,7 @@ def fit_multilabel(
     few labels share the cluster.
     """
     terms = with_terms(train, text)
-    tfidf = fit_tfidf(terms, **bounds)
+    tfidf = fit_tfidf(terms, size, **bounds)
     columns = [*labels, *([weight] if weight else [])]
     features = tfidf.transform(terms).select("features", *[F.col(x).cast("double").alias(x) for x in columns])
     features = features.persist(StorageLevel.MEMORY_AND_DISK)
@@ -66,17 +66,13 @@ def fit_multilabel(
             x: 1.0 if n and totals[x] else 0.0 for x in labels if not n or totals[x] in (None, 0.0, float(n))
         }
 
-        # Every iteration is a job: a small table goes through it in few tasks, a
-        # large one keeps its partitions.
-        compact = features.coalesce(max(1, -(-n // ROWS_PER_TASK)))
-
         def fit(label: str):
             lr = LogisticRegression(
                 featuresCol="features", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
                 standardization=False, maxIter=max_iter, tol=tol, family="binomial",
                 rawPredictionCol=f"_raw_{label}", probabilityCol=f"_prob_{label}", predictionCol=f"_pred_{label}",
             )
-            return (lr.setWeightCol(weight) if weight else lr).fit(compact)
+            return (lr.setWeightCol(weight) if weight else lr).fit(features)
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), [x for x in labels if x not in constants]))

@@ -66,14 +66,15 @@ def _named(df: DataFrame, scores: str, stage_name: str) -> DataFrame:
     )
 
 
-def label_splits(binary: DataFrame, key: str = "id") -> dict[str, DataFrame]:
-    """Stage-1 split of all articles and stage-2 split of gated ones, if those are enough."""
+def label_splits(binary: DataFrame, key: str = "id", minimum: int = 0) -> dict[str, DataFrame]:
+    """Stage-1 split of all articles and stage-2 split of gated ones; fewer gated rows than ``minimum`` are an error."""
     ones = [labelling.binary_name(c) for c in stage_keys("stage1")]
     twos = [labelling.binary_name(c) for c in stage_keys("stage2")]
     out = {"stage1": splits.split_columns(splits.split_random(binary, key), "content", ones)}
     gated = binary.where(F.col(labelling.binary_name(labelling.GATE_COLUMN)) == 1)
-    if splits.enough_rows(gated):
-        out["stage2"] = splits.split_columns(splits.split_random(gated, key), "content", twos)
+    if minimum and not splits.enough_rows(gated, minimum):
+        raise ValueError(f"fewer than {minimum} gated rows")
+    out["stage2"] = splits.split_columns(splits.split_random(gated, key), "content", twos)
     return out
 
 

@@ -11,7 +11,8 @@ SITES = "domain string, type string, feed string, url string, js boolean"
 SOURCE_CONFIG = (
     f"sites array<struct<domain:string,type:string,feed:string,url:string,js:boolean>>, "
     "keywords array<string>, min_content_chars int, max_content_chars int, "
-    "max_urls_per_site int, max_urls int, sitemap_max_nested int"
+    "max_urls_per_site int, max_urls int, sitemap_max_nested int, "
+    "crawl_max_depth int, crawl_fanout int"
 )
 ARTICLE = (
     "id string, url string, domain string, title string, content string, content_length int, "

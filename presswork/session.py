@@ -45,7 +45,8 @@ def work_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_DIRS:
@@ -71,11 +72,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give it fewer partitions than there are cores.
-
-    A corpus of many files comes back unchanged; a corpus of one file would
-    otherwise be tokenised and parsed by one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal a scan of few files out to ``partitions``; without a number it stays as it is."""
+    return df if partitions is None else df.repartition(partitions)

@@ -130,3 +130,8 @@ def test_anchors(spark):
 def test_labels_names(spark):
     assert apply(spark, ["Bias & Fairness"], X.label_key(F.col("v"), "stage2")) == ["stage2_bias_and_fairness"]
     assert apply(spark, ["stage1_binary_artificial_intelligence"], X.label_display(F.col("v"))) == ["Artificial Intelligence"]
+
+
+def test_main_text_of_an_upper_case_page(spark):
+    page = f"<ARTICLE><P>{LONG}</P></ARTICLE>"
+    assert apply(spark, [page], H.main_text(H.strip_noise(F.col("v")))) == [LONG.strip()]

@@ -74,3 +74,16 @@ def test_candidates_are_first_wins_over_sites(spark):
     assert {(r["site_pos"], r["url"]) for r in out.collect()} == {(0, "https://a/news/1"), (0, "https://a/news/2")}
     one = discover.candidate_urls(found, ["pos"], None, CrawlLimits(max_urls=1))
     assert [r["url"] for r in one.collect()] == ["https://a/news/2"]
+
+
+def test_sitemap_endings(spark):
+    index = "<sitemapindex><sitemap><loc>http://a/x.xml</loc></sitemap></sitemapindex>"
+    urls = "<urlset><url><loc>http://a/2024/01/story?a=1&amp;b=2</loc></url></urlset>"
+    ends = ["", "\n<!-- made\nby -->\n", "<?done?> <!-- x --><!-- y -->"]
+    df = spark.createDataFrame([(i, index + e, urls + e) for i, e in enumerate(ends)], "i int, index string, urls string")
+    from pyspark.sql import functions as F
+
+    for row in df.select(discover.is_sitemap_index(F.col("index")), discover.sitemap_locs(F.col("urls"))).collect():
+        assert row[0] and row[1] == ["http://a/2024/01/story?a=1&b=2"]
+    broken = df.select(discover.is_sitemap_index(F.concat("index", F.lit("<x>")))).collect()
+    assert not any(r[0] for r in broken)

@@ -95,3 +95,33 @@ def test_history_keys_skip_missing(spark):
     df = spark.createDataFrame([("u", None), (None, "h"), ("u", "h")], "url string, content_hash string")
     urls, hashes = ingest.history_keys(df)
     assert [r[0] for r in urls.collect()] == ["u"] and [r[0] for r in hashes.collect()] == ["h"]
+
+
+def test_repeated_urls_follow_the_rows_in_order(spark):
+    import random
+
+    rnd = random.Random(4)
+    for rows in [
+        [(1, "u1", "h1"), (2, "u1", "h2"), (3, "u2", "h2"), (4, "u1", "h9"), (5, None, "h1"), (6, None, "h7")],
+        [(i, f"u{rnd.randint(0, 9)}", f"h{rnd.randint(0, 12)}") for i in range(60)],
+    ]:
+        urls, hashes, want = set(), set(), set()
+        for key, url, digest in rows:
+            if url not in urls and digest not in hashes:
+                want.add(key)
+                urls |= {url} - {None}
+                hashes.add(digest)
+        df = spark.createDataFrame(rows, "page_id long, url string, content_hash string").repartition(3)
+        assert {r[0] for r in ingest.first_of_both(df, "page_id", "url", "content_hash").collect()} == want
+
+
+def test_second_page_of_a_saved_url_is_a_duplicate_url(spark):
+    body = "<html><article><p>" + "robot words " * 60 + "{}</p></article></html>"
+    pages = spark.createDataFrame(
+        [(1, "http://a/1", body.format("one")), (2, "http://a/1", body.format("two")), (3, "http://a/1", "no page"),
+         (4, "http://a/4", body.format("two")), (5, "http://a/9", body.format("x"))], "page_id long, url string, html string")
+    known = spark.createDataFrame([("http://a/9",), ("http://a/9",)], "url string")
+    run = ingest.run_funnel(pages, ["robot"], history_urls=known)
+    assert {r["page_id"]: r["outcome"] for r in run.outcomes.collect()} == {
+        1: "saved", 2: "duplicate_url", 3: "duplicate_url", 4: "saved", 5: "duplicate_url"}
+    assert sorted(r["page_id"] for r in run.articles.collect()) == [1, 4]

@@ -111,7 +111,7 @@ def test_stratified_split_with_a_dominant_stratum(spark):
         part = [r["split"] for r in rows if r["s"] == s]
         held = math.ceil(len(part) / 5)
         assert part.count("test") == math.ceil(held / 2) and part.count("val") == held - math.ceil(held / 2)
-    assert not splits.enough_rows(df.limit(99)) and splits.enough_rows(df)
+    assert not splits.enough_rows(df.limit(99), 100) and splits.enough_rows(df, 100)
 
 
 def test_analyze_reports_errors(spark):
@@ -159,3 +159,11 @@ def test_single_label_data_sets(spark):
     assert sizes == {"train": 80, "val": 10, "test": 10}
     assert sets["issues"].count() == 50 and sets["issues"].agg(F.sum(f"`{ISSUES[0]}`")).first()[0] == 1
     assert config.GATE_CATEGORY == CATEGORIES[0]
+
+
+def test_null_strata_are_kept(spark):
+    rows = [(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = splits.split_stratified(df, "id", "label").groupBy("label", "split").count().collect()
+    assert sum(r["count"] for r in got) == 60
+    assert {r["split"]: r["count"] for r in got if r["label"] is None} == {"train": 16, "val": 2, "test": 2}

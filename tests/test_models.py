@@ -22,7 +22,7 @@ def test_vectors_equal_the_relational_form(spark, docs):
     terms = features.with_terms(docs)
     vocab = features.vocabulary(terms, len(TEXTS))
     names = [r["term"] for r in vocab.orderBy("term").collect()]
-    vectors = features.fit_tfidf(terms).transform(terms).select("id", "features").collect()
+    vectors = features.fit_tfidf(terms, 10_000).transform(terms).select("id", "features").collect()
     left = {(r["id"], names[i]): float(v) for r in vectors for i, v in zip(r["features"].indices, r["features"].values)}
     right = {(r["id"], r["term"]): r["weight"] for r in features.tfidf_terms(docs, vocab, "id").collect()}
     assert left.keys() == right.keys()
