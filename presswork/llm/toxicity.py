@@ -35,6 +35,7 @@ _PARTED = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() or
 _BEFORE, _AFTER = b" ", b" " + b"\x01" * 12
 ORDINARY_BYTES, TOXIC_BYTES = 2_048, 8_192
 LARGEST = 3
+BEGINNINGS = (4, 5, 6)
 #: A telling window stands in this share of the toxic documents at least; the calibration picks the best of these.
 LEAST_SHARES = (0.01, 0.02, 0.03, 0.05)
 CACHE_WORDS = 200_000
@@ -45,12 +46,25 @@ def words(text: str | None) -> list[bytes]:
     return (text if text.isascii() else text.lower()).encode("utf-8", "replace").translate(_PARTED).split()
 
 
-def train_dictionary(size: int, windows: list[bytes], k: int) -> bytes:
-    """The trained dictionary, or the windows themselves where there are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, windows, k=k, d=6).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(dict.fromkeys(windows))[-size:]
+def windows_of(word: bytes) -> set[bytes]:
+    """The windows that may train the toxic dictionary: the word and its beginnings."""
+    return {_BEFORE + word + b" ", *(_BEFORE + word[:n] for n in BEGINNINGS if len(word) > n)}
+
+
+def train_dictionary(size: int, windows: dict[bytes, int], k: int) -> bytes:
+    """The trained dictionary of windows with their counts.
+
+    Windows that fit as a whole are the dictionary, the most frequent ones last, where
+    they are cheapest to refer to; so are the last of them where training fails.
+    """
+    order = sorted(windows, key=lambda w: (windows[w], w))
+    if sum(map(len, order)) > size:
+        try:
+            samples = [w for w in order for _ in range(windows[w])]
+            return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            pass
+    return b"".join(order)[-size:]
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -144,6 +158,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
+def _telling(train: list[list[list[bytes]]], contrast: float) -> dict[bytes, int]:
+    """Windows that toxic texts hold far more often than ordinary ones, and how many different words precede them.
+
+    Copies of one text repeat its words behind the same words, so they don't add up.
+    """
+    holding = [Counter(x for t in part for x in set().union(*map(windows_of, set(t)))) for part in train]
+    n, m = (max(len(part), 1) for part in train)
+    behind = {x: set() for x, c in holding[0].items() if c > 1 and c / n > contrast * (holding[1][x] + 0.5) / m}
+    for text in train[0]:
+        for before, word in zip([b"", *text], text):
+            for x in windows_of(word):
+                if x in behind:
+                    behind[x].add(before)
+    return {x: min(len(words), holding[0][x]) for x, words in behind.items()}
+
+
 def fit_toxicity(toxic: list[str], ordinary: list[str], share: float | None = None, contrast: float = 8.0) -> ToxicModel:
     """A model from sample texts; every other text of a class trains, the rest calibrates.
 
@@ -152,10 +182,11 @@ def fit_toxicity(toxic: list[str], ordinary: list[str], share: float | None = No
     """
     train = [[words(t) for t in part[::2]] for part in (toxic, ordinary)]
     rest = [[words(t) for t in part[1::2] or part] for part in (toxic, ordinary)]
-    in_toxic, in_ordinary = (Counter(w for t in part for w in set(t)) for part in train)
-    n, m = max(len(train[0]), 1), max(len(train[1]), 1)
+    in_ordinary = Counter(w for t in train[1] for w in set(t))
+    n = max(len(train[0]), 1)
     common = sorted(in_ordinary, key=lambda w: (-in_ordinary[w], w))[:60_000]
-    plain = train_dictionary(ORDINARY_BYTES, [_BEFORE + w + b" " for w in common for _ in range(min(in_ordinary[w], 8))], 24)
+    plain = train_dictionary(ORDINARY_BYTES, {_BEFORE + w + b" ": min(in_ordinary[w], 8) for w in common}, 24)
+    in_toxic = _telling(train, contrast)
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
     if len(np.unique(y)) < 2:
         level = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
@@ -164,8 +195,8 @@ def fit_toxicity(toxic: list[str], ordinary: list[str], share: float | None = No
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     best = None
     for least in sorted({max(2, round(s * n)) for s in LEAST_SHARES}):
-        telling = sorted(w for w, c in in_toxic.items() if c >= least and c / n > contrast * (in_ordinary[w] + 0.5) / m)
-        marked = train_dictionary(TOXIC_BYTES, [_BEFORE + w + b" " for w in telling for _ in range(min(in_toxic[w], 50))], 16)
+        telling = {w: min(c, 50) for w, c in in_toxic.items() if c >= least}
+        marked = train_dictionary(TOXIC_BYTES, telling, 16)
         x = np.array([features(d) for d in Distances(plain, marked).of_texts(rest[0] + rest[1])])
         middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
         weights = logistic((x - middle) / spread, y, weight)
