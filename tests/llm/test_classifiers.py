@@ -73,7 +73,7 @@ def test_fold_is_the_crc_of_the_id(spark):
 
 def test_distance_grows_with_toxic_words():
     rnd = np.random.default_rng(3)
-    other = ["".join(rnd.choice(list("aeioulmnrst"), rnd.integers(3, 9))) for _ in range(3000)]
+    other = ["".join(rnd.choice(list("aeioulmnrst"), rnd.integers(3, 9))) for _ in range(300)]
     plain = [" ".join(rnd.choice(other, 30)) for _ in range(300)]
     toxic = [f"{' '.join(rnd.choice(other, 20))} zorbak{rnd.choice(['', 'en', 'ig', 'ung'])} {' '.join(rnd.choice(other, 20))}" for _ in range(120)]
     model = toxicity.fit_toxicity(toxic, plain)
