@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet"), int(partitions) if partitions else None)
 
 
+def fit_partitions(spark: SparkSession) -> int | None:
+    """Tasks per iteration of a fit, where the caller names them; else the partitions of the training table."""
+    named = spark.conf.get("spark.presswork.fit.partitions", None)
+    return int(named) if named else None
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.operators.features import fit_tfidf, with_terms
+from presswork.session import stage
 
 
 
@@ -45,18 +46,21 @@ def fit_multilabel(
     tol: float = 1e-4,
     weight: str | None = None,
     parallelism: int = 4,
+    partitions: int | None = None,
     **bounds,
 ) -> MultiLabelModel:
     """Fit TF-IDF and one unweighted L2 logistic regression per label on ``train``.
 
     ``C`` of a loss-sum objective is ``regParam = 1 / (C n)`` of Spark's
-    loss-mean objective.  The texts are tokenised once, into a persisted
-    feature table that the label fits share.  Each fit is a distributed job; ``parallelism`` lets a
-    few labels share the cluster.
+    loss-mean objective.  The texts are tokenised once, into a written
+    table that counting, vocabulary and features read; the label fits share a persisted
+    feature table.  Each fit is a distributed job; ``parallelism`` lets a
+    few labels share the cluster.  Every iteration is a job over all partitions: a
+    caller whose rows are few may name fewer ``partitions``.
     """
-    terms = with_terms(train, text)
-    tfidf = fit_tfidf(terms, size, **bounds)
     columns = [*labels, *([weight] if weight else [])]
+    terms = stage(with_terms(train.select(text, *columns), text).select("terms", *columns), "terms")
+    tfidf = fit_tfidf(terms, size, **bounds)
     features = tfidf.transform(terms).select("features", *[F.col(x).cast("double").alias(x) for x in columns])
     features = features.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -72,7 +76,7 @@ def fit_multilabel(
                 standardization=False, maxIter=max_iter, tol=tol, family="binomial",
                 rawPredictionCol=f"_raw_{label}", probabilityCol=f"_prob_{label}", predictionCol=f"_pred_{label}",
             )
-            return (lr.setWeightCol(weight) if weight else lr).fit(features)
+            return (lr.setWeightCol(weight) if weight else lr).fit(features if partitions is None else features.coalesce(partitions))
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), [x for x in labels if x not in constants]))
