@@ -4,7 +4,8 @@ Texts are compared as lower-case words joined by single spaces. An item of n
 characters may differ from a passage by ``k = floor(rate * n)`` edits. Cut into k + 1
 pieces, at least one piece stands in the passage unchanged and at most k places
 from where it should be. All pieces are searched at once in each document; around
-each hit Myers' bit-parallel distance decides.
+each hit Myers' bit-parallel distance decides. An item with k = 0 is one piece and
+has to stand between word bounds.
 
 Items go to the workers in blocks of about ``block_chars`` characters, each an
 automaton of bounded size, however large the benchmark is; documents never move.
@@ -96,14 +97,19 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, end of the passage, length of the text) for each item with a passage in reach."""
         found = [(item_id, 0, len(text), len(text)) for item_id in self.whole.get(text, ())]
-        around = defaultdict(list)
+        around, exactly = defaultdict(list), {}
         for end, (size, owners) in self.automaton.iter(text) if self.any else ():
             for owner, at in owners:
                 n, k = len(self.items[owner][1]), self.items[owner][2]
+                if not k:
+                    if owner not in exactly and text[end - n:end - n + 1] in ("", " ") and text[end + 1:end + 2] in ("", " "):
+                        exactly[owner] = end + 1
+                    continue
                 start = end + 1 - size - at
                 # fewer characters than any passage within k edits has
                 if start + n + k > 0 and min(len(text), start + n + k) - max(0, start - k) >= n - k:
                     around[owner].append((max(0, start - k), min(len(text), start + n + k)))
+        found += [(self.items[owner][0], 0, end, len(text)) for owner, end in exactly.items()]
         for owner, spans in around.items():
             item_id, item, k, pattern = self.items[owner]
             exact = text.find(item)
@@ -138,7 +144,7 @@ def contaminations(
 
     ``end`` counts characters of the normal text; the first of equal distances wins.
     Items under ``short`` normal characters match only a text that equals them as a
-    whole; items and texts without letters or digits match nothing, null texts are
+    whole; the query and the pipeline pass 0, which searches every item. Items and texts without letters or digits match nothing, null texts are
     empty. Every row is a document and an item of its own, so repeated rows repeat
     their results. Empty tables give an empty one. Ids are long and may be null.
     """

@@ -73,7 +73,7 @@ def cut_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_edit_decontamination")
 def edit_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"), short=0)
 
 
 @query("op5_pattern_packing")

@@ -6,8 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from presswork.llm import decontaminate, mincut, packing, quotes
-from presswork.llm.queries import tokenizer_path
+from presswork.llm.queries import QUERIES, tokenizer_path
 
 # ---- packing ----------------------------------------------------------------------------
 
@@ -129,6 +130,18 @@ def test_leaks_equal_brute_force(spark):
 
 
 # ---- main text ------------------------------------------------------------------------------
+def test_short_items_are_found_inside_texts(spark, tmp_path):
+    items = [(1, "What is the capital of France?"), (2, "Why not"), (3, "?!"), (4, "a cat")]
+    docs = [(1, "He asked: what is the capitol of France, and left."), (2, "why  NOT, said she"), (3, "why nothing; a catalogue"), (4, "a cat"),
+            (5, "anywhy not"), (6, "anything else?"), (7, "a catalogue of a cat")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    left.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op4_edit_decontamination"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 1, 38), (2, 2, 0, 7), (4, 4, 0, 5), (7, 4, 0, 20)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.leaks(spark, left, str(tmp_path)).collect()) == [3, 5, 6]
+
+
 def test_cut_is_the_cheapest_labelling():
     rnd = random.Random(5)
     for _ in range(300):
