@@ -16,7 +16,8 @@ which has the same property and takes 2 of 32.
    the number of buckets follows the size of the corpus. A sample whose tie rank an
    earlier document has is repeated as a whole.
 3. What is left are samples of one order with different tie ranks, the ends of
-   repeats. Their surrounding bytes are fetched, and each string over them is
+   repeats; one stands for all of its text and tie rank, as in a run of one byte.
+   Their surrounding bytes are fetched, and each string over them is
    compared. Orders with more than ``hot_ties`` different ties are dealt out by
    string, not by order, so no key gathers in one task.
 4. Marks meet the texts again by document; texts are shuffled compressed.
@@ -157,15 +158,18 @@ def _runs(ids: np.ndarray, rows: np.ndarray):
     return ids[new], rows[new], np.diff(np.append(new, len(ids))).astype(np.int32)
 
 
-def _marks(home: int, ids, rows, pos, strings) -> Iterator[tuple[int, bytes]]:
-    """Marks by the place where their texts will be; ``strings``: bits of the repeated strings, all bits for a whole reach."""
+def _marks(home: int, ids, rows, pos, strings, like: bool = False) -> Iterator[tuple[int, bytes]]:
+    """Marks by the place where their texts will be; ``strings``: bits of the repeated strings, all bits for a whole reach.
+
+    With ``like``, strings are positions of the same text: what is marked there is marked at ``pos``.
+    """
     place = (rows.view(np.uint64) % _U(home)).astype(np.int64)
     order = np.lexsort((pos, rows, ids, place))
     bounds = np.searchsorted(place[order], np.arange(home + 1))
     for t in range(home):
         own = order[bounds[t]:bounds[t + 1]]
         if len(own):
-            yield t, _packed(*_runs(ids[own], rows[own]), pos[own].astype(np.uint32), strings[own])
+            yield t, _packed(*_runs(ids[own], rows[own]), pos[own].astype(np.uint32), strings[own], *[True] * like)
 
 
 WHOLE = np.uint32((1 << WINDOW) - 1)
@@ -286,7 +290,18 @@ def _sort_bucket(buckets: int, home: int, hot_ties: int):
                 whole = sort[late]
                 rows += [(t, payload, None) for t, payload in _marks(home, ids[whole], keys[whole], pos[whole], np.full(len(whole), WHOLE))]
                 near = ~late & (ties > 1)
-                look, named = sort[near], mix(order[near] * _U(buckets) + _U(bucket))
+                look, near = sort[near], np.flatnonzero(near)
+                # one sample stands for all of its order, tie rank and text, as in a run of one byte
+                group = np.lexsort((pos[look], keys[look], ids[look], start.searchsorted(near, side="right")))
+                look, near = look[group], near[group]
+                rank = start.searchsorted(near, side="right")
+                first = np.ones(len(look), bool)
+                first[1:] = (rank[1:] != rank[:-1]) | (ids[look][1:] != ids[look][:-1]) | (keys[look][1:] != keys[look][:-1])
+                like = pos[look[first]][np.cumsum(first) - 1]
+                rows += [(t, payload, None) for t, payload in _marks(
+                    home, ids[look[~first]], keys[look[~first]], pos[look[~first]], like[~first], True)]
+                look, near = look[first], near[first]
+                named = mix(order[near] * _U(buckets) + _U(bucket))
                 hot = ties[near] > hot_ties
                 for t, own in _dealt((keys[look].view(np.uint64) % _U(home)).astype(np.int64), home):
                     at = look[own]
@@ -323,7 +338,10 @@ def _look(text: np.ndarray, pos: np.ndarray):
     """(bytes left, bytes right, matrix of the bytes a string over each sample can reach)."""
     left, right = np.minimum(pos, REACH), np.minimum(len(text) - pos, LENGTH)
     padded = np.concatenate([np.zeros(REACH, np.uint8), text, np.zeros(LENGTH, np.uint8)])
-    return left, right, padded[pos[:, None] + np.arange(REACH + LENGTH)[None, :]]
+    around = np.empty((len(pos), REACH + LENGTH), np.uint8)
+    for low in range(0, len(pos), TIES):
+        around[low:low + TIES] = padded[pos[low:low + TIES, None] + np.arange(REACH + LENGTH)[None, :]]
+    return left, right, around
 
 
 def string_digests(around: np.ndarray, left: np.ndarray, right: np.ndarray):
@@ -360,8 +378,9 @@ def _send_ties(spread: int, home: int):
             sent.append((g, -1, _packed(
                 True, ids[at[own]], keys[at[own]], pos[at[own]].astype(np.uint32), named[at[own]],
                 left[own].astype(np.uint8), right[own].astype(np.uint8), around[own])))
-        warm = np.flatnonzero(hot[at])
-        if len(warm):
+        every = np.flatnonzero(hot[at])
+        for low in range(0, len(every), TIES):
+            warm = every[low:low + TIES]
             held = [[] for _ in range(5)]
             late = np.zeros(len(warm), np.uint32)
             for x, there, digest in string_digests(around[warm], left[warm], right[warm]):
@@ -435,6 +454,27 @@ def _compare_ties(home: int):
     return run
 
 
+def _by_text(parts: list[tuple]):
+    """Ids, keys, positions and strings of marks in the order of texts, and where each text has its own."""
+    ids, keys, n, pos, strings = (np.concatenate(x) for x in zip(*[x[:5] for x in parts]))
+    ids, keys = np.repeat(ids, n), np.repeat(keys, n)
+    sort = np.lexsort((keys, ids))
+    ids, keys, pos, strings = ids[sort], keys[sort], pos[sort].astype(np.int64), strings[sort]
+    run_ids, run_keys, run_n = _runs(ids, keys)
+    where = {(i, k): (e - m, e) for i, k, m, e in zip(run_ids.tolist(), run_keys.tolist(), run_n.tolist(), np.cumsum(run_n).tolist())}
+    return pos, strings, where
+
+
+def _alike(pos: np.ndarray, strings: np.ndarray, others: np.ndarray, like: np.ndarray):
+    """Marks with those of ``like`` also at ``others``."""
+    marked, place = np.unique(pos, return_inverse=True)
+    bits = np.zeros(len(marked), np.uint32)
+    np.bitwise_or.at(bits, place, strings)
+    at = np.minimum(np.searchsorted(marked, like), len(marked) - 1)
+    hit = marked[at] == like
+    return np.concatenate([pos, others[hit]]), np.concatenate([strings, bits[at[hit]]])
+
+
 def removed(n: int, pos: np.ndarray, strings: np.ndarray) -> np.ndarray:
     """Which of n bytes the marks cover."""
     edges = np.zeros(n + 1, np.int64)
@@ -452,14 +492,9 @@ def removed(n: int, pos: np.ndarray, strings: np.ndarray) -> np.ndarray:
 def _finish(names: list[str], schema: pa.Schema, keep: str | None):
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
         parts = [_unpacked(x) for x in marks.column("payload").to_pylist()]
-        where: dict = {}
-        if parts:
-            ids, keys, n, pos, strings = (np.concatenate(x) for x in zip(*parts))
-            ids, keys = np.repeat(ids, n), np.repeat(keys, n)
-            sort = np.lexsort((keys, ids))
-            ids, keys, pos, strings = ids[sort], keys[sort], pos[sort].astype(np.int64), strings[sort]
-            run_ids, run_keys, run_n = _runs(ids, keys)
-            where = {(i, k): (e - m, e) for i, k, m, e in zip(run_ids.tolist(), run_keys.tolist(), run_n.tolist(), np.cumsum(run_n).tolist())}
+        plain, alike = [x for x in parts if len(x) == 5], [x for x in parts if len(x) == 6]
+        pos, strings, where = _by_text(plain) if plain else (None, None, {})
+        others, like, also = _by_text(alike) if alike else (None, None, {})
         done = []
         for batch in _texts(texts.column("texts")):
             data, offsets = _bytes_of(batch.column(2))
@@ -469,7 +504,11 @@ def _finish(names: list[str], schema: pa.Schema, keep: str | None):
                 gone = np.zeros(len(text), bool)
                 if own in where:
                     low, high = where[own]
-                    gone = removed(len(text), pos[low:high], strings[low:high])
+                    marked, bits = pos[low:high], strings[low:high]
+                    if own in also:
+                        low, high = also[own]
+                        marked, bits = _alike(marked, bits, others[low:high], like[low:high].astype(np.int64))
+                    gone = removed(len(text), marked, bits)
                 kept = text[~gone].tobytes()
                 spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 told = [len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -219,3 +220,24 @@ def test_long_texts_are_cut_without_a_seam(monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 700)
     for a, b in zip(whole, suffixes.sample_texts(data, np.array([0, len(data)]))):
         assert np.array_equal(a, b)
+
+
+def test_runs_equal_brute_force(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(24):
+        period = ["-", "ab", "xyz"][i % 3]
+        ends = ["".join(rnd.choices("pqrs", k=rnd.choice([0, 5, 30, 60]))) for _ in range(2)]
+        rows.append((rnd.randint(0, 15), ends[0] + period * rnd.randint(20, 300) + ends[1] + period * rnd.randint(1, 90)))
+    want = brute_repeats(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"hot_ties": 1, "bucket_bytes": 2000, "place_bytes": 1500}):
+        got = suffixes.remove_repeats(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
+def test_a_run_needs_few_looks():
+    texts = pa.RecordBatch.from_pydict({"id": [1, 2], "row": [5, 6], "body": [b"one " + b"-" * 100_000 + b" two", b"x" + b"-" * 300 + b"y"]})
+    sent = pa.concat_tables(pa.Table.from_batches([b]) for b in suffixes._send_samples(1, 1)(iter([texts]))).combine_chunks().to_batches()
+    ties = [x for batch in suffixes._sort_bucket(1, 1, 1 << 17)(iter(sent)) for x in batch.column(2).to_pylist() if x is not None]
+    assert 0 < sum(len(suffixes._unpacked(x)[0]) for x in ties) < 1000
