@@ -4,8 +4,9 @@ Texts are compared as lower-case words joined by single spaces. An item of n
 characters may differ from a passage by ``k = floor(rate * n)`` edits. Cut into k + 1
 pieces, at least one piece stands in the passage unchanged and at most k places
 from where it should be. All pieces are searched at once in each document; around
-each hit Myers' bit-parallel distance decides. An item with k = 0 is one piece and
-has to stand between word bounds.
+each hit Myers' bit-parallel distance decides. Items and texts are compared with a
+space at each end, so that a passage that starts or ends inside a word costs an edit,
+and an item with k = 0 has to stand between word bounds.
 
 Items go to the workers in blocks of about ``block_chars`` characters, each an
 automaton of bounded size, however large the benchmark is; documents never move.
@@ -71,19 +72,17 @@ class Pattern:
 
 
 class Matcher:
-    """Finds the items of one block in normal texts."""
+    """Finds the items of one block in normal texts; both are compared with a space at each end."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, short: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items, self.whole = [], defaultdict(list)
+        self.items = []
         pieces = defaultdict(list)
         for item_id, text in items:
-            if len(text) < short:
-                if text:
-                    self.whole[text].append(item_id)
+            if not text:
                 continue
-            k = int(rate * len(text))
+            k, text = int(rate * len(text)), f" {text} "
             self.items.append((item_id, text, k, Pattern(text)))
             for at, piece in cut(text, k):
                 pieces[piece].append((len(self.items) - 1, at))
@@ -94,27 +93,25 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(pieces)
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, end of the passage, length of the text) for each item with a passage in reach."""
-        found = [(item_id, 0, len(text), len(text)) for item_id in self.whole.get(text, ())]
-        around, exactly = defaultdict(list), {}
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """(item_id, distance, end of the passage) for each item with a passage in reach."""
+        text = f" {text} "
+        found = []
+        around = defaultdict(list)
         for end, (size, owners) in self.automaton.iter(text) if self.any else ():
             for owner, at in owners:
                 n, k = len(self.items[owner][1]), self.items[owner][2]
-                if not k:
-                    if owner not in exactly and text[end - n:end - n + 1] in ("", " ") and text[end + 1:end + 2] in ("", " "):
-                        exactly[owner] = end + 1
-                    continue
                 start = end + 1 - size - at
                 # fewer characters than any passage within k edits has
                 if start + n + k > 0 and min(len(text), start + n + k) - max(0, start - k) >= n - k:
                     around[owner].append((max(0, start - k), min(len(text), start + n + k)))
-        found += [(self.items[owner][0], 0, end, len(text)) for owner, end in exactly.items()]
         for owner, spans in around.items():
             item_id, item, k, pattern = self.items[owner]
             exact = text.find(item)
             if exact >= 0:
-                found.append((item_id, 0, exact + len(item), len(text)))
+                found.append((item_id, 0, exact + len(item) - 2))
+                continue
+            if not k:
                 continue
             best = None
             spans.sort()
@@ -125,35 +122,30 @@ class Matcher:
                     continue
                 distance, end = pattern.best(text[low:high])
                 if distance <= k and (best is None or distance < best[0]):
-                    best = distance, low + end
+                    best = distance, low + end - 1 - (text[low + end - 1] == " ")
                 low, high = a, b
             if best:
-                found.append((item_id, *best, len(text)))
+                found.append((item_id, *best))
         return found
 
 
-def _numbers(columns, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-
 def contaminations(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", rate: float = 0.06, short: int = 32, block_chars: int = 2 << 20,
+    item_text: str = "text", rate: float = 0.06, block_chars: int = 2 << 20,
 ) -> DataFrame:
     """(key, item, distance, end): each document and item with a passage of it, the least distance, and where it ends.
 
     ``end`` counts characters of the normal text; the first of equal distances wins.
-    Items under ``short`` normal characters match only a text that equals them as a
-    whole; the query and the pipeline pass 0, which searches every item. Items and texts without letters or digits match nothing, null texts are
-    empty. Every row is a document and an item of its own, so repeated rows repeat
-    their results. Empty tables give an empty one. Ids are long and may be null.
+    Items of any length are searched. Items and texts without letters or digits match
+    nothing, null texts are empty. Every row is a document and an item of its own, so
+    repeated rows repeat their results. Empty tables give an empty one. The key may
+    have any type and be null, as may the long item id.
     """
     spark = docs.sparkSession
-    names = [key, item, "distance", "end"]
-    schema = ", ".join(f"`{n}` long" for n in names)
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` long, distance long, end long"
     chars = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
-    rows = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     out = None
     for block in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == block)
@@ -162,14 +154,17 @@ def contaminations(
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate, short)
+            matcher = Matcher(shared.value, rate)
             for batch in batches:
-                found = []
-                for doc, column in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at, found = [], []
+                for row, column in enumerate(batch.column(1)):
                     hits = matcher.find(normal(column.as_py()))
-                    found += [(doc, item_id, distance, end) for item_id, distance, end, _ in hits]
+                    at += [row] * len(hits)
+                    found += hits
                 if found:
-                    yield _numbers(zip(*found), names)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*found))],
+                        [key, item, "distance", "end"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from presswork.llm import shingles, simhash, suffixes
+from presswork.llm import simhash, suffixes
 from presswork.llm.components import connected_components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -107,65 +107,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, **{900 + i: 900 for i in range(40)}, 1000: 900}
 
 
-def near_copy_rows():
-    rnd = random.Random(11)
-    words = [f"w{i}" for i in range(400)]
-    rows = [(None, None), (4, ""), (5, "one"), (6, "One"), (7, None)]
-    for i in range(40):
-        base = rnd.choices(words, k=rnd.choice([4, 30, 60, 200]))
-        for j in range(5):
-            copy = list(base)
-            for _ in range(j):
-                copy[rnd.randrange(len(copy))] = rnd.choice(words)
-            rows.append((rnd.randint(10, 10_000), " ".join(copy)))
-    common = rnd.choices(words, k=60)
-    rows += [(20_000 + i, " ".join([*common, *rnd.choices(words, k=20 + i % 2)])) for i in range(40)]
-    return rows
-
-
-def shingle_components(rows, width=5):
-    sets = []
-    for _, text in rows:
-        w = (text or "").lower().split()
-        sets.append({tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
-    parent = list(range(len(rows)))
-
-    def find(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    links = 0
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if 5 * len(a & b) >= 4 * len(a | b):
-                links += a != b
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    ids = {}
-    for i, (key, _) in enumerate(rows):
-        if key is not None:
-            ids[find(i)] = min(ids.get(find(i), key), key)
-    return links, sorted(((key, ids.get(find(i))) for i, (key, _) in enumerate(rows)), key=repr)
-
-
-def test_shingle_groups_equal_brute_force(spark, monkeypatch):
-    rows = near_copy_rows()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    links, want = shingle_components(rows)
-    assert links > 60
-    for pairs in (shingles.PAIRS, 0):
-        monkeypatch.setattr(shingles, "PAIRS", pairs)
-        assert sorted((tuple(r) for r in shingles.shingle_groups(df).collect()), key=repr) == want
-    assert shingles.shingle_groups(df.limit(0)).count() == 0
-
-
-def test_pipeline_drops_copies_that_differ_in_some_words(spark):
-    words = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join("x" if i and j % 60 == i else w for j, w in enumerate(words))) for i in range(5)]
-    rows.append((9, " ".join("x" if j % 10 == 0 else w for j, w in enumerate(words))))
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 9]
+def test_pipeline_links_rows_by_their_own_texts(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join("x" if i and j == 500 * i else w for j, w in enumerate(words))) for i in range(4)]
+    rows += [(4, " ".join("x" if j % 5 == 0 else w for j, w in enumerate(words)))]
+    rows += [(1, "one text"), (1, "another text under that id"), (None, "one text"), (7, None), (8, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = {i for i in range(4) if bin(simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[0][1])).count("1") <= 2}
+    assert len(near) > 1
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    want = [(0, 0)] + [(i, i) for i in range(1, 4) if i not in near] + [(4, 4), (1, 5), (1, 6), (7, 8)]
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted((d, rows[i][1] or "") for d, i in want)
+    assert got[0].__fields__ == docs.columns
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
 
 
 # ---- repeated substrings ------------------------------------------------------------

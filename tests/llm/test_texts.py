@@ -113,13 +113,9 @@ def test_leaks_equal_brute_force(spark):
         t = decontaminate.normal(text or "")
         for i, item in items:
             n = decontaminate.normal(item or "")
-            if len(n) < 32:
-                if n and n == t:
-                    want[d, i, 0] += 1
-            else:
-                distance, _ = brute_distance(n, t)
-                if distance <= int(0.1 * len(n)):
-                    want[d, i, distance] += 1
+            distance, _ = brute_distance(f" {n} ", f" {t} ")
+            if n and distance <= int(0.1 * len(n)):
+                want[d, i, distance] += 1
     left = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, distance int")
     right = spark.createDataFrame(items, "item_id long, text string")
     for block_chars in (1 << 20, 150):
@@ -129,7 +125,6 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.contaminations(left.limit(0), right).count() == decontaminate.contaminations(left, right.limit(0)).count() == 0
 
 
-# ---- main text ------------------------------------------------------------------------------
 def test_short_items_are_found_inside_texts(spark, tmp_path):
     items = [(1, "What is the capital of France?"), (2, "Why not"), (3, "?!"), (4, "a cat")]
     docs = [(1, "He asked: what is the capitol of France, and left."), (2, "why  NOT, said she"), (3, "why nothing; a catalogue"), (4, "a cat"),
@@ -142,6 +137,24 @@ def test_short_items_are_found_inside_texts(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.leaks(spark, left, str(tmp_path)).collect()) == [3, 5, 6]
 
 
+@pytest.mark.parametrize("item", ["a cat sat there now", "a cat sat there"])
+def test_words_cut_in_two_cost_edits(item):
+    matcher = decontaminate.Matcher([(1, item)], 0.06)
+    assert matcher.find(f"x{item}x") == [] and matcher.find(f"x {item} x") == [(1, 0, 2 + len(item))]
+    assert matcher.find(item) == [(1, 0, len(item))]
+
+
+def test_leaks_go_by_row(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog every single day of the week"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} it goes"), (None, "a clean text"), (5, f"again {item}"), (5, "another clean text"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([rows[1], rows[3], rows[4], rows[5]], key=repr)
+    assert corpus_pipeline.leaks(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+# ---- main text ------------------------------------------------------------------------------
 def test_cut_is_the_cheapest_labelling():
     rnd = random.Random(5)
     for _ in range(300):
