@@ -15,7 +15,7 @@ from presswork.llm.labelled import fold
 from presswork.llm.packing import pack_documents
 from presswork.llm.queries import query, tokenizer_path
 from presswork.llm.rules import fit_quality, score_quality
-from presswork.llm.shingles import shingle_groups
+from presswork.llm.simhash import near_duplicates
 from presswork.llm.suffixes import remove_repeats
 from presswork.session import stage, stage_path
 
@@ -28,19 +28,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).where(F.col("score") >= 0.7).select(*COLUMNS)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, which tells rows apart that share a doc_id; rows without one come last.
+
+    Rows that are equal in all columns have the same.
+    """
+    missing = F.col("doc_id").isNull()
+    return docs.select(*COLUMNS, F.struct(
+        missing.alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*COLUMNS).alias("digest")).alias("row"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id, once; rows without doc_id stay.
+    """Of each group of near copies the row with the smallest doc_id, once.
 
-    Near copies share 0.8 or more of their five-word shingles.
+    Fingerprints of 3-word shingles that differ in 2 bits or fewer link rows. Rows
+    that share a doc_id, or have none, are told apart by their other columns.
     """
-    groups = shingle_groups(docs)
-    first = stage(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "pipeline-firsts")
+    rows = with_row(docs)
+    groups = near_duplicates(rows, key="row", shingle=3, tau=2)
+    first = stage(groups.where(F.col("row") == F.col("component_id")).groupBy("row").count(), "pipeline-firsts")
     # nearly as many firsts as documents: the same sort-merge join at every size
-    once = docs.join(first.where("count = 1").hint("merge"), "doc_id", "left_semi")
-    kept = docs.where(F.col("doc_id").isNull()).unionByName(once)
+    kept = rows.join(first.where("count = 1").hint("merge"), "row", "left_semi")
     repeated = first.where("count > 1")
     if not repeated.isEmpty():
-        kept = kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.unionByName(rows.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
     return kept.select(*COLUMNS)
 
 
@@ -51,10 +62,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; a row stays or goes by its own text, whatever its doc_id."""
     # written first, so that its size is known when the join is planned
-    found = stage(contaminations(docs, table(spark, sf_dir, "benchmark"), short=0).select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = with_row(docs)
+    found = stage(contaminations(rows, table(spark, sf_dir, "benchmark"), key="row").select("row").distinct(), "pipeline-leaks")
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
