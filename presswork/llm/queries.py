@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.llm.bands import compression_bands
 from presswork.llm.common import table
 from presswork.llm.decontaminate import contaminations
 from presswork.llm.labelled import fold
@@ -115,3 +116,8 @@ def ring_shards(spark: SparkSession, sf: str) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     return assign_shards(docs, shards=40, ties=("size", "text_crc32")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_compression_bands")
+def compression_band_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return compression_bands(table(spark, sf, "documents"))
