@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from presswork.llm.bands import compression_bands
 from presswork.llm.common import table
 from presswork.llm.decontaminate import contaminations
+from presswork.llm.divergence import source_divergence
 from presswork.llm.labelled import fold
 from presswork.llm.mincut import extract_main_text
 from presswork.llm.packing import pack_documents
@@ -118,6 +119,49 @@ def ring_shards(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op12_run_length_divergence", r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents
+), found as (
+  select r, lang, source, unnest(ts) as term from d
+), kept as (
+  select lang, term, count(*) as n from found group by lang, term having count(distinct r) >= 30
+), langs as (
+  select lang, count(*) as v, sum(n) as total from kept group by lang
+), counts as (
+  select f.lang, f.source, f.term, count(*) as n from found f join kept k on f.lang = k.lang and f.term = k.term group by all
+), groups as (
+  select g.lang, g.source, coalesce(sum(c.n), 0) as total
+  from (select distinct lang, source from d) g left join counts c on g.lang = c.lang and g.source = c.source
+  group by all
+), shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) as p,
+         1 + (1000000000::hugeint * (k.n + 5)) // (l.total + 5 * l.v) as q
+  from groups g join langs l on g.lang = l.lang join kept k on g.lang = k.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by all
+), valued as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, p - q from shares where n > 0 and p > q
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from valued) r
+where part = 'pair' or rank <= 50
+""")
+def run_length_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents"))
+
+
 @query("op13_compression_bands")
 def compression_band_rules(spark: SparkSession, sf: str) -> DataFrame:
     return compression_bands(table(spark, sf, "documents"))
