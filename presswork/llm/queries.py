@@ -11,6 +11,7 @@ from presswork.llm.bands import compression_bands
 from presswork.llm.common import table
 from presswork.llm.decontaminate import contaminations
 from presswork.llm.divergence import source_divergence
+from presswork.llm.geometric import ranked_search
 from presswork.llm.labelled import fold
 from presswork.llm.mincut import extract_main_text
 from presswork.llm.packing import pack_documents
@@ -119,6 +120,40 @@ def ring_shards(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op11_geometric_search", r"""
+with lowered as (
+  select 'd' as kind, row_number() over () as r, doc_id as id,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+  union all
+  select 'q', row_number() over (), item_id,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark
+), terms as (
+  select kind, r, id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from lowered
+), sizes as (
+  select r, any_value(id) as doc_id, count(*) as n from terms where kind = 'd' group by r
+), corpus as (
+  select count(*) as docs, cast(sum(n) as bigint) as total from sizes
+), asked as (
+  select distinct r as q, id as item_id, term from terms where kind = 'q'
+), postings as (
+  select r, term, count(*) as tf from terms where kind = 'd' and term in (select term from asked) group by r, term
+), weights as (
+  select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+  from (select term, count(*) as df from postings group by term) t, corpus
+), scores as (
+  select a.q, a.item_id, s.doc_id,
+         cast(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * s.n * c.docs) // c.total)))) as bigint) as score
+  from asked a join weights w on a.term = w.term join postings p on a.term = p.term join sizes s on p.r = s.r cross join corpus c
+  group by a.q, a.item_id, s.r, s.doc_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by q order by score desc, doc_id) as rank from scores where score > 0) r
+where rank <= 50
+""")
+def geometric_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op12_run_length_divergence", r"""
 with d as (
   select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
