@@ -35,7 +35,7 @@ from presswork.session import stage
 #: ASCII letters in lower case, digits, bytes of other characters as they are, all else a space.
 _TERMS = bytes((b | 32 if chr(b).isalpha() else b if chr(b).isdigit() else 32) if b < 128 else b for b in range(256))
 #: Entries (document, term) searched at once, and documents of a block.
-SHARD = 1 << 20
+SHARD = 1 << 19
 BLOCK = 32
 #: Numbers of a document's sketch, and most centres of one assignment.
 SKETCH = 24
@@ -136,11 +136,19 @@ class Shard:
             blocks[starts[1:]] = 1
             places, sizes = self.entries(rows)
             cells = self.terms[places].astype(np.int64) * len(starts) + np.repeat(np.cumsum(blocks), sizes)
-            order = np.argsort(cells, kind="stable")
-            cells = cells[order]
-            first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-            most = np.maximum.reduceat(self.impacts[places[order]], first)
-            terms, at = np.divmod(cells[first], len(starts))
+            impacts = self.impacts[places].astype(np.int32)  # below 10**6
+            if self.size * len(starts) <= 4 * len(cells):
+                most = np.zeros(self.size * len(starts), np.int32)
+                np.maximum.at(most, cells, impacts)
+                cells = np.flatnonzero(most)
+                most = most[cells]
+            else:
+                order = np.argsort(cells)
+                cells = cells[order]
+                first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+                most = np.maximum.reduceat(impacts[order], first)
+                cells = cells[first]
+            terms, at = np.divmod(cells, len(starts))
             self.lists[term] = rows, starts, np.searchsorted(terms, np.arange(self.size + 1)).astype(np.int32), at.astype(np.int32), most
         return self.lists[term]
 
