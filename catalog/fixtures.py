@@ -197,11 +197,26 @@ select page_id, url, case cast(page_id % 10 as int)
 from {{pages}}
 """
 
-SECTIONS_SQL = """
-select page_id, url, replace(replace(replace(html, '<article>', '<div><section>'),
-       '</article>', '</section></div>'), '</p><p><b>', '</p></section><section><p><b>') as html
-from {pages}
+# The paragraphs of an article in groups: items and cells without end tags, elements of the
+# page's own, inline elements, and sections between paragraphs of the parent.
+_GROUPS = [("<section>", "</section>", "<div>", "</div>"), ("<li class=g>", "", "<ul>", "</ul>"), ("<td>", "", "<table><tr>", "</table>"),
+           ("<x-part>", "</x-part>", "<x-story>", "</x-story>"), ("<span>", "</span>", "<div>", "</div>"),
+           ("<dd>", "", "<dl>", "</dl>"), ("<tr><td>", "", "<table>", "</tbody></table>")]
+
+
+def _grouped(first: str, last: str, outer: str, end: str) -> str:
+    return (f"replace(replace(replace(html, '<article>', '{outer}{first}'), '</article>', '{last}{end}'), "
+            f"'</p><p><b>', '</p>{last}{first}<p><b>')")
+
+
+SECTIONS_SQL = f"""
+select page_id, url, case cast(page_id % {len(_GROUPS)} as int)
+  {" ".join(f"when {i} then {_grouped(*g)}" for i, g in enumerate(_GROUPS))} end as html
+from {{pages}}
 """
+#: What a group of each page starts with.
+GROUP_STARTS = "case cast(page_id % {} as int) {} end".format(
+    len(_GROUPS), " ".join(f"when {i} then '{g[0]}'" for i, g in enumerate(_GROUPS)))
 
 
 # ---- labels of documents -----------------------------------------------------------

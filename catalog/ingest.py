@@ -92,16 +92,27 @@ def article_text(spark, sf):
     return _clean(variants).select("page_id", H.main_text(F.col("c")).alias("main"))
 
 
-@query("largest_block", f"""with sections as ({fx.duck(fx.SECTIONS_SQL)}),
-flat as (select page_id, unnest(range(len(s))) as parent, unnest(s) as body from (
-  select page_id, string_split(regexp_replace(html, '{NOISE}', '<!-->', 'g'), '<section>')[2:] as s from sections)),
+SECTIONS_CTE = f"""flat as (select page_id, unnest(range(len(s))) as parent, unnest(s) as body from (
+  select page_id, string_split(regexp_replace(html, '{NOISE}', '<!-->', 'g'), {fx.GROUP_STARTS})[2:] as s from sections)),
 texts as (select page_id, parent, {paras_text('body')} as t, len({para_list('body')}) as n from flat),
-best as (select page_id, t from texts where n > 0 qualify row_number() over (partition by page_id order by length(t) desc, parent) = 1)
+best as (select page_id, t from texts where n > 0 qualify row_number() over (partition by page_id order by length(t) desc, parent) = 1)"""
+
+
+@query("largest_block", f"""with sections as ({fx.duck(fx.SECTIONS_SQL)}), {SECTIONS_CTE}
 select page_id, {collapsed('t')} as block from best where length(t) > 500""")
 def largest_block(spark, sf):
     return extract.largest_block(fx.from_sql(spark, sf, fx.SECTIONS_SQL), "page_id")
 
 
+@query("section_content", f"""with sections as ({fx.duck(fx.SECTIONS_SQL)}), {SECTIONS_CTE}
+select page_id, coalesce(block, {LONG}) as content from (
+  select c.page_id, c, {collapsed('b.t')} as block
+  from (select page_id, regexp_replace(html, '{NOISE}', '<!-->', 'g') as c from sections) c
+  left join (select * from best where length(t) > 500) b on b.page_id = c.page_id) x""")
+def section_content(spark, sf):
+    return extract.extract_content(fx.from_sql(spark, sf, fx.SECTIONS_SQL), "page_id").select("page_id", "content")
+
+
 @query("long_paragraphs", f"with clean as (select page_id, regexp_replace(html, '{NOISE}', '<!-->', 'g') as c from pages) select page_id, {LONG} as content from clean")
 def long_paragraphs(spark, sf):
     return _clean(fx.pages(spark, sf)).select("page_id", H.long_paragraphs(F.col("c")).alias("content"))

@@ -20,13 +20,16 @@ NOISE = (
 )
 NOISE_MARK = "<!-->"
 TAG = r"<(?:/?[a-zA-Z]|[!?])[^>]*>"
-# Elements that always need a closing tag and can be the parent of a paragraph.
+# Elements that end an open paragraph and always need a closing tag.
 BLOCK = (
     "address|article|aside|blockquote|body|center|details|div|dl|fieldset|figure|footer|form"
     "|h[1-6]|header|html|main|nav|ol|pre|section|table|ul"
 )
+#: List items and the parts of a table, whose end tags may be left out.
+ITEM = "li|dt|dd|caption|thead|tbody|tfoot|tr|td|th"
 P_OPEN = r"(?i)<p(?:\s[^>]*)?/?>"
-P_END = rf"(?i)<(?:/p|/?(?:hr|{BLOCK}))(?:\s[^>]*)?/?>"
+P_START = r"(?i)^<p(?:\s[^>]*)?/?>$"
+P_END = rf"(?i)<(?:/p|/?(?:hr|{BLOCK}|{ITEM}))(?:\s[^>]*)?/?>"
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 MARK = "\x01"
 
@@ -122,6 +125,121 @@ def paragraphs(fragment: Column) -> Column:
     return F.transform(raw_paragraphs(fragment), fragment_text)
 
 
+# ---- open elements -----------------------------------------------------------
+#: Finds the same paragraphs as ``P_OPEN``: no other tag reaches over a ``<``.
+ELEMENT = rf"{P_OPEN}|</?[a-z][^><]*>"
+ELEMENT_NAME = r"^</?([a-zA-Z][^\s/>]*)"
+VOID = " area base br col embed hr img input link meta param source track wbr "
+_TABLE = "table caption"
+#: What an open tag closes, and the open elements beyond which it closes nothing.
+_IMPLIED = {
+    **dict.fromkeys([*BLOCK.replace("h[1-6]", "h1|h2|h3|h4|h5|h6").split("|"), "hr", "p"], ("p", f"{_TABLE} td th button object")),
+    "li": ("li p", f"ul ol menu {_TABLE} td th button"),
+    **dict.fromkeys(["dt", "dd"], ("dt dd p", f"dl {_TABLE} td th button")),
+    **dict.fromkeys(["td", "th"], ("td th", "tr table")),
+    "tr": ("tr td th caption", "table"),
+    **dict.fromkeys(["thead", "tbody", "tfoot"], ("thead tbody tfoot tr td th caption", "table")),
+    "option": ("option", "select"),
+}
+#: A close tag does not reach beyond an open element of a higher rank.
+_RANK = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}
+
+
+def _known(table: dict[str, str], name: Column) -> Column:
+    # One literal that constant folding turns into a map.
+    text = "\n".join(f"{k}={v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\n"), F.lit("=")), name)
+
+
+def _named(names: Column, name: Column) -> Column:
+    return F.contains(names, F.concat(F.lit(" "), name, F.lit(" ")))
+
+
+def paragraph_parents(clean_html: Column) -> Column:
+    """For each paragraph its parent element, by the number of its open tag; -1 where nothing is open.
+
+    The tags of a page are folded over the stack of open elements. End tags that may be
+    left out are implied by the next open tag, as for items, cells and paragraphs; a close tag
+    ends what is open inside its element, and means nothing without one.
+    """
+    def event(tag: Column, number: Column) -> Column:
+        name = F.lower(F.regexp_extract(tag, ELEMENT_NAME, 1))
+        return F.struct(
+            number.alias("number"), name.alias("name"), tag.startswith("</").alias("close"), tag.rlike(P_START).alias("p"),
+            (_named(F.lit(VOID), name) | tag.endswith("/>")).alias("empty"))
+
+    def known(e: Column) -> Column:
+        spaced = {k: tuple(f" {x} " for x in v) for k, v in _IMPLIED.items()}
+        return F.struct(
+            *[e[c].alias(c) for c in ("number", "name", "close", "p", "empty")],
+            _known({k: v[0] for k, v in spaced.items()}, e["name"]).alias("closes"),
+            _known({k: v[1] for k, v in spaced.items()}, e["name"]).alias("scope"),
+            F.coalesce(_known({k: str(v) for k, v in _RANK.items()}, e["name"]), F.lit("0")).alias("rank"))
+
+    def places(stack: Column, test) -> Column:
+        return F.filter(F.transform(stack, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
+
+    def implied(stack: Column, e: Column) -> Column:
+        """What stays open when ``e`` opens."""
+        bound = F.coalesce(F.array_max(places(stack, lambda x, i: _named(e["scope"], x["name"]))), F.lit(-1))
+        first = let(bound, lambda b: F.array_min(places(stack, lambda x, i: (i > b) & _named(e["closes"], x["name"]))))
+        return F.when(e["closes"].isNull(), stack).otherwise(F.slice(stack, F.lit(1), F.coalesce(first, F.size(stack))))
+
+    def closed(stack: Column, e: Column) -> Column:
+        """What stays open when ``e`` closes."""
+        bound = F.coalesce(F.array_max(places(stack, lambda x, i: x["rank"] > e["rank"])), F.lit(-1))
+        last = let(bound, lambda b: F.array_max(places(stack, lambda x, i: (i >= b) & (x["name"] == e["name"]))))
+        return F.slice(stack, F.lit(1), F.coalesce(last, F.size(stack)))
+
+    def step(state: Column, e: Column) -> Column:
+        def opened(stack: Column) -> Column:
+            own = F.array(F.struct(*[e[c].alias(c) for c in ("number", "name", "rank")]))
+            parent = F.coalesce(F.try_element_at(stack, F.lit(-1))["number"], F.lit(-1))
+            return F.struct(
+                F.when(e["empty"] & ~e["p"], stack).otherwise(F.concat(stack, own)).alias("stack"),
+                F.when(e["p"], F.concat(state["parents"], F.array(parent))).otherwise(state["parents"]).alias("parents"))
+
+        return F.when(
+            e["close"], F.struct(closed(state["stack"], e).alias("stack"), state["parents"].alias("parents"))
+        ).otherwise(let(implied(state["stack"], e), opened))
+
+    start = F.struct(
+        F.array().cast("array<struct<number:int,name:string,rank:string>>").alias("stack"), F.array().cast("array<int>").alias("parents"))
+    events = F.transform(F.transform(F.regexp_extract_all(clean_html, F.lit(ELEMENT), F.lit(0)), event), known)
+    return F.aggregate(events, start, step, lambda state: state["parents"])
+
+
+def largest_block(clean_html: Column) -> Column:
+    """Text of the sibling paragraphs with most text, NULL unless it is over the minimum; the earliest parent wins a tie.
+
+    Paragraphs are sorted by parent and folded, so the work grows with a page's length alone.
+    """
+    def best(texts: Column, parents: Column) -> Column:
+        rows = F.array_sort(F.transform(texts, lambda t, i: F.struct(
+            F.get(parents, i).alias("parent"), i.alias("at"), F.length(t).alias("chars"))))
+        start = F.struct(*[F.lit(v).alias(n) for n, v in (("parent", -2), ("chars", 0), ("first", 0), ("best", -2), ("most", -1), ("best_first", 0))])
+
+        def step(s: Column, r: Column) -> Column:
+            same = s["parent"] == r["parent"]
+            chars = F.when(same, s["chars"] + 1 + r["chars"]).otherwise(r["chars"])
+            first = F.when(same, s["first"]).otherwise(r["at"])
+            better = (chars > s["most"]) | (chars == s["most"]) & ((r["parent"] == s["best"]) | (first < s["best_first"]))
+            return F.struct(
+                r["parent"].alias("parent"), chars.alias("chars"), first.alias("first"),
+                F.when(better, r["parent"]).otherwise(s["best"]).alias("best"),
+                F.when(better, chars).otherwise(s["most"]).alias("most"),
+                F.when(better, first).otherwise(s["best_first"]).alias("best_first"))
+
+        return F.aggregate(rows, start, step)
+
+    def block(found: Column) -> Column:
+        texts, parents = found["texts"], found["parents"]
+        return let(best(texts, parents), lambda b: F.when(b["most"] > config.BLOCK_MIN_CHARS, collapse_ws(F.array_join(
+            F.filter(texts, lambda t, i: F.get(parents, i) == b["best"]), " "))))
+
+    return let(F.struct(paragraphs(clean_html).alias("texts"), paragraph_parents(clean_html).alias("parents")), block)
+
+
 def selector_pattern(selector: str) -> str:
     """Open-tag pattern of a tag, ``.class`` or ``[attr="value"]`` selector; group 1 is the tag."""
     any_tag = r"<([a-zA-Z][a-zA-Z0-9-]*)(?:\s[^>]*)?"

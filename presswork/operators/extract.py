@@ -2,119 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork import config
 from presswork.functions import html as H
-from presswork.functions.text import collapse_ws
-from presswork.operators.rows import array_rows
 from presswork.session import stage
 
-EVENT = rf"(?i)<(?:p|/p|/?(?:hr|{H.BLOCK}))(?:\s[^>]*)?/?>"
-BLOCK_OPEN = rf"(?i)^<(?:{H.BLOCK})(?:\s|/?>)"
-BLOCK_CLOSE = rf"(?i)^</(?:{H.BLOCK})(?:\s|>)"
-P_START = r"(?i)^<p(?:\s|/?>)"
-
-
-def paragraph_parents(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """One row per paragraph: ``key``, ``pos``, ``parent``, ``text``.
-
-    The parent is the innermost open block element, named by the position of its
-    open tag.  A running sum of open and close tags gives the depth; the parent
-    is then the latest open tag at the paragraph's depth.  Both windows and the
-    groups built on them partition by page, so one exchange serves all.
-    """
-    noise_free = H.strip_noise(F.col(html))
-    events = H.let(
-        noise_free,
-        lambda h: F.arrays_zip(
-            F.regexp_extract_all(h, F.lit(EVENT), F.lit(0)).alias("tag"),
-            H.tail(F.split(h, EVENT)).alias("after"),
-        ),
-    )
-    tag = F.col("_e.tag")
-    kind = F.when(tag.rlike(BLOCK_OPEN), 1).when(tag.rlike(BLOCK_CLOSE), -1).otherwise(0)
-    is_p = tag.rlike(P_START)
-    flat = (
-        array_rows(pages, [key], events, "_e").select(
-            key,
-            "pos",
-            kind.alias("delta"),
-            F.when(is_p, H.fragment_text(F.col("_e.after"))).alias("text"),
-            is_p.alias("is_p"),
-        )
-        .where((F.col("delta") != 0) | F.col("is_p"))
-    )
-    in_page = Window.partitionBy(key).orderBy("pos")
-    at_depth = Window.partitionBy(key, "depth").orderBy("pos")
-    return (
-        flat.withColumn("depth", F.sum("delta").over(in_page))
-        .withColumn(
-            "parent",
-            F.last(F.when(F.col("delta") == 1, F.col("pos")), ignorenulls=True).over(
-                at_depth.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .where("is_p")
-        .select(key, "pos", F.coalesce("parent", F.lit(-1)).alias("parent"), "text")
-    )
-
 
 def largest_block(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """``key, block``: the sibling paragraphs with most text, if over the minimum.
 
-    The earliest group wins a tie.  Groups are bounded by one page.
+    Siblings have one parent element, end tags implied where they may be left out.
+    The earliest group wins a tie.  A page is decided in its own row.
     """
-    groups = (
-        paragraph_parents(pages, key, html)
-        .groupBy(key, "parent")
-        .agg(
-            (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("chars"),
-            F.min("pos").alias("first_pos"),
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " "
-            ).alias("joined"),
-        )
-    )
-    best = groups.groupBy(key).agg(
-        F.max_by("joined", F.struct(F.col("chars"), -F.col("first_pos"))).alias("joined"),
-        F.max("chars").alias("chars"),
-    )
-    return best.where(F.col("chars") > config.BLOCK_MIN_CHARS).select(
-        key, collapse_ws(F.col("joined")).alias("block")
-    )
+    block = H.largest_block(H.strip_noise(F.col(html)))
+    return pages.select(key, block.alias("block")).where(F.col("block").isNotNull())
 
 
 def extract_content(pages: DataFrame, key: str, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """``key``, kept columns, ``title``, ``content``: the first strategy that qualifies.
 
-    The HTML is read once.  What the container rule settles is written out
-    without its HTML; only the unsettled pages keep theirs, and only they pay
-    for the paragraph shuffle of the second rule.
+    One pass over the HTML in whole rows, no shuffle: a later strategy is only
+    computed for the pages that the one before it left open.  The result is
+    written, since it is read more than once and expensive.
     """
-    first = (
-        pages.withColumn("is_html", H.is_html(F.col("html")))
-        .withColumn("_clean", H.strip_noise(F.col("html")))
-        .withColumn("_main", F.when(F.col("is_html"), H.main_text(F.col("_clean"))))
-        .withColumn("settled", F.col("_main").isNotNull() | ~F.col("is_html"))
-        .select(
-            key,
-            *keep,
-            "is_html",
-            H.title_of(F.col("_clean")).alias("title"),
-            F.col("_main").alias("content"),
-            F.when(~F.col("settled"), F.col("html")).alias("html"),
-            "settled",
-        )
-    )
-    first = stage(first, "extract")
-    settled = first.where("settled").drop("html", "settled")
-    rest = first.where("not settled").drop("settled")
-    blocks = largest_block(rest, key)
-    other = (
-        rest.join(blocks, key, "left")
-        .withColumn("content", F.coalesce("block", H.long_paragraphs(H.strip_noise(F.col("html")))))
-        .drop("html", "block")
-    )
-    return settled.unionByName(other)
+    clean = F.col("_clean")
+    found = pages.withColumn("_clean", H.strip_noise(F.col("html"))).select(
+        key,
+        *keep,
+        H.is_html(F.col("html")).alias("is_html"),
+        H.title_of(clean).alias("title"),
+        F.when(H.is_html(F.col("html")), F.coalesce(
+            H.main_text(clean), H.largest_block(clean), H.long_paragraphs(clean))).alias("content"),
+    )
+    return stage(found, "extract")

@@ -119,6 +119,38 @@ def test_largest_block_groups_by_parent(spark):
     assert got == {1: f"{a} {a}", 2: "x" * 600}
 
 
+@pytest.mark.parametrize("html, parents", [
+    ("<p>1<p>2", [-1, -1]),
+    ("<ul><li><p>1<li><p>2<p>3</ul><p>4", [1, 3, 3, -1]),
+    ("<ul><li><p>1<ul><li><p>2</ul><p>3</li><li><p>4", [1, 4, 1, 9]),
+    ("<table><tr><td><p>1<td><p>2<tr><th><p>3</table><p>4", [2, 4, 7, -1]),
+    ("<table><tbody><tr><td><p>1<tbody><tr><td><div><p>2</td></div><td><p>3", [3, 8, 12]),
+    ("<dl><dt><p>1<dd><p>2</dl>", [1, 3]),
+    ("<x-a><p>1</p></x-a><span><p>2</p><b><p>3</b></p></span><p>4", [0, 4, 7, -1]),
+    ("<div><p>1<b>x<div><p>2</div><p>3", [0, 3, 0]),
+    ("<DIV><P>1</DIV></div></p></li><p>2<br><img src=x><x/><p>3", [0, -1, -1]),
+    ("<p>1<hr><p>2<section><p>3</section><p>4", [-1, -1, 3, -1]),
+    ("<div><b><p>1</b><p>2</div><p>3</b>", [1, 0, -1]),
+    ("<div><a title='<p>'>x</a><p>1", [0, 0]),
+    ("text", []), ("", []),
+])
+def test_paragraph_parents(spark, html, parents):
+    assert apply(spark, [html], H.paragraph_parents(F.col("v"))) == [parents]
+
+
+def test_items_and_cells_are_groups(spark):
+    x, y = "x" * 300, "y" * 301
+    pages = [f"<ul><li><p>{x}<p>{x}<li><p>{y}<li><p>{y}</ul>", f"<table><tr><td><p>{y}<td><p>{x}<p>{x}</table>",
+             f"<x-a><p>{y}</p></x-a><x-b><p>{x}</p><p>{x}</p></x-b>", f"<ul><li><p>{x}<li><p>{x}</ul>", None, ""]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    assert {r["k"]: r["block"] for r in extract.largest_block(df, "k").collect()} == dict.fromkeys(range(3), f"{x} {x}")
+
+
+def test_a_page_of_many_cells(spark):
+    page = "<table>" + "<tr><td><p>cell" * 3000 + "</table><div>" + "<p>text" * 3000
+    assert apply(spark, [page], H.largest_block(F.col("v"))) == [" ".join(["text"] * 3000)]
+
+
 def test_anchors(spark):
     html = """<a name=x>no href</a><a class=c href='/a?x=1&amp;y=2'>Next <b>page</b></a><a href=/b>open<a href="">e</a>
     <script>var s = '<a href="/no">no</a>'</script>"""
