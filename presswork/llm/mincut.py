@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,10 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>"
-    r"|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+_MARKS = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -56,25 +55,56 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SCALE = 1000
 
 
+#: A name that starts with one of these says what an element comes with, not what it is.
+ASIDES = {"has", "have", "with", "without", "no", "not", "non", "is", "hide", "show", "hidden"}
+
+
 class Block:
-    __slots__ = ("text", "path", "link_share", "boiler", "content", "tag")
+    __slots__ = ("text", "element", "link_share")
 
-    def __init__(self, text, path, link_share, boiler, content, tag):
-        self.text, self.path, self.link_share = text, path, link_share
-        self.boiler, self.content, self.tag = boiler, content, tag
+    def __init__(self, text, element, link_share):
+        self.text, self.element, self.link_share = text, element, link_share
 
 
 class _Element:
-    __slots__ = ("tag", "number", "boiler", "content")
-
-    def __init__(self, tag, number, boiler, content):
-        self.tag, self.number, self.boiler, self.content = tag, number, boiler, content
+    __slots__ = ("tag", "number", "parent", "depth", "boiler", "content")
+
+    def __init__(self, tag, number, parent, boiler, content):
+        self.tag, self.number, self.parent, self.boiler, self.content = tag, number, parent, boiler, content
+        self.depth = parent.depth + 1 if parent else 0
+
+
+def apart(a: _Element, b: _Element, most: int) -> int:
+    """Steps from one element to the other in the tree, or a number over ``most``."""
+    steps = 0
+    while a is not b and steps <= most:
+        if a.depth >= b.depth:
+            a, steps = a.parent, steps + 1
+        else:
+            b, steps = b.parent, steps + 1
+    return steps
+
+
+def _marked(value: str) -> tuple[bool, bool]:
+    """Whether names of ``value`` stand for boilerplate, and for content."""
+    boiler = content = False
+    for word in value.split():
+        names = _NAME.findall(_CAMEL.sub(" ", word).lower())
+        if names and names[0] not in ASIDES:
+            if not BOILER_NAMES.isdisjoint(names):
+                boiler = True
+            elif not CONTENT_NAMES.isdisjoint(names):
+                content = True
+    return boiler, content
 
 
 def _surroundings(tag: str, attributes: str, parent: _Element) -> tuple[int, int]:
-    """How often the path has met boilerplate and content so far, this element included."""
+    """How often the path has met boilerplate and content so far, this element included.
+
+    An element whose names say both is taken for neither.
+    """
     boiler, content = parent.boiler, parent.content
-    names: set[str] = set()
+    named = set()
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -84,10 +114,13 @@ def _surroundings(tag: str, attributes: str, parent: _Element) -> tuple[int, int
             elif kind == "hidden" or kind == "style" and "display:none" in value.replace(" ", "").lower():
                 boiler += 1
             elif kind in ("class", "id", "itemprop"):
-                names.update(_NAME.findall(_CAMEL.sub(" ", value).lower()))
-    if names & BOILER_NAMES and not (parent.content and names & BOILER_NAMES == {"header"}):
+                own = _marked(value)
+                if own[0] and parent.content and set(_NAME.findall(_CAMEL.sub(" ", value).lower())) & BOILER_NAMES == {"header"}:
+                    own = (False, own[1])
+                named.update(n for n, there in zip("bc", own) if there)
+    if named == {"b"}:
         boiler += 1
-    elif names & CONTENT_NAMES:
+    elif named == {"c"}:
         content += 1
     if tag in BOILER_TAGS or tag == "header" and not parent.content:
         boiler += 1
@@ -96,45 +129,107 @@ def _surroundings(tag: str, attributes: str, parent: _Element) -> tuple[int, int
     return boiler, content
 
 
+class _Scanner:
+    """Tags of a page; every search that can fail is not repeated, so the time is linear."""
+
+    def __init__(self, html: str):
+        self.html, self.ends, self.quotes, self.missing = html, True, True, set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name or mark was read up to ``at``, quoted ``>`` left out; -1 for nowhere."""
+        end = self.html.find(">", at) if self.ends else -1
+        if end < 0:
+            self.ends = False
+            return -1
+        if not self.quotes or '"' not in self.html[at:end] and "'" not in self.html[at:end]:
+            return end
+        i = at
+        while m := _MARKS.search(self.html, i):
+            if m[0] == ">":
+                return m.start()
+            close = -1 if m[0] in self.missing else self.html.find(m[0], m.end())
+            if close < 0:
+                self.missing.add(m[0])
+            i = max(m.end(), close + 1)
+        self.quotes = False
+        return end
+
+    def after(self, what: str, at: int) -> int | None:
+        """Where the text behind the next ``what`` starts."""
+        if what in self.missing:
+            return None
+        end = self.html.find(what, at)
+        if end < 0:
+            self.missing.add(what)
+            return None
+        return end + len(what)
+
+    def after_element(self, tag: str, at: int) -> int | None:
+        if f"/{tag}" in self.missing:
+            return None
+        m = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(self.html, at)
+        if m is None:
+            self.missing.add(f"/{tag}")
+        return m and m.end()
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in order; character references decoded, white space runs one space."""
-    stack = [_Element("", 0, 0, 0)]
+    stack = [_Element("", 0, None, 0, 0)]
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    in_link, number, at = False, 0, 0
+    opened: Counter[str] = Counter()
+    holders: list[int] = []
+    in_link, number, at, scanner = False, 0, 0, _Scanner(html)
 
     def flush():
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 link = len(" ".join(unescape("".join(linked)).split())) if linked else 0
-                top = stack[-1]
-                blocks.append(Block(text, [e.number for e in stack], link / len(text), top.boiler, top.content, top.tag))
+                blocks.append(Block(text, stack[-1], link / len(text)))
             parts.clear()
         linked.clear()
 
     def close(tags: set[str], within: int = 1):
+        if not any(opened[t] for t in tags):
+            return
         for depth in range(len(stack) - 1, within - 1, -1):
             if stack[depth].tag in tags:
+                opened.subtract(e.tag for e in stack[depth:])
                 del stack[depth:]
+                while holders and holders[-1] >= depth:
+                    holders.pop()
                 return
 
+    def text(low: int, high: int):
+        if high > low:
+            parts.append(html[low:high])
+            if in_link:
+                linked.append(html[low:high])
+
     n = len(html)
     while at < n:
-        m = _TAG.search(html, at)
-        cut = m.start() if m else n
-        if cut > at:
-            piece = html[at:cut]
-            parts.append(piece)
-            if in_link:
-                linked.append(piece)
+        m = _OPEN.search(html, at) if scanner.ends else None
         if m is None:
+            text(at, n)
             break
-        at = m.end()
+        text(at, m.start())
         if m[2] is None:
+            end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0])
+            after = (scanner.after(end, m.end()) or n) if end else scanner.tag_end(m.end()) + 1
+            if not after:
+                text(m.start(), m.end())
+                after = m.end()
+            at = after
+            continue
+        end = scanner.tag_end(m.end())
+        if end < 0:
+            text(m.start(), m.end())
+            at = m.end()
             continue
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
+        closing, tag, attributes, at = m[1], m[2].lower(), html[m.end():end], end + 1
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
@@ -148,8 +243,8 @@ def blocks_of(html: str) -> list[Block]:
         if tag in RAW and not closing:
             if attributes.endswith("/") and tag in ("svg", "math", "iframe"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(html, at)
-            at = end.end() if end else at if tag == "head" else n
+            # what is never closed hides nothing, but for scripts and styles
+            at = scanner.after_element(tag, at) or (n if tag in ("script", "style") else at)
             parts.append(" ")
             continue
         flush()
@@ -158,21 +253,27 @@ def blocks_of(html: str) -> list[Block]:
             close({tag})
             continue
         if tag != "p" and tag in CLOSES:
-            close(CLOSES[tag], max((d for d, e in enumerate(stack) if e.tag in ("ul", "ol", "dl", "table")), default=0) + 1)
+            close(CLOSES[tag], (holders[-1] if holders else 0) + 1)
         elif stack[-1].tag == "p":
+            opened["p"] -= 1
             stack.pop()
         number += 1
-        stack.append(_Element(tag, number, *_surroundings(tag, attributes, stack[-1])))
+        if tag in ("ul", "ol", "dl", "table"):
+            holders.append(len(stack))
+        opened[tag] += 1
+        stack.append(_Element(tag, number, stack[-1], *_surroundings(tag, attributes, stack[-1])))
     flush()
     return blocks
 
 
 def leaning(block: Block) -> float:
     """The classifier's log odds of content."""
-    n = len(block.text)
-    z = -0.8 + 1.6 * min(n, 240) / 120 - 4.0 * block.link_share
-    z += 2.4 * min(block.content, 1) - 4.5 * min(block.boiler, 2)
-    z += 0.8 * (block.tag in HEADINGS or block.tag in ("p", "blockquote", "pre")) + 0.4 * block.text.endswith((".", "!", "?", "…"))
+    n, element = len(block.text), block.element
+    # an item of an article's list may well be a link; its neighbours tell a list of links from one that holds a few
+    item = element.tag == "li" and element.content and not element.boiler
+    z = -0.8 + 1.6 * min(n, 240) / 120 - (2.4 if item else 4.0) * block.link_share
+    z += 2.4 * min(element.content, 1) - 4.5 * min(element.boiler, 2)
+    z += 0.8 * (element.tag in HEADINGS or element.tag in ("p", "blockquote", "pre")) + 0.4 * block.text.endswith((".", "!", "?", "…"))
     return z
 
 
@@ -181,13 +282,12 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], int]:
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
     for j, block in enumerate(blocks):
-        pairs = {j - 1, last.get(block.path[-2] if len(block.path) > 1 else 0, -1)} - {-1}
-        last[block.path[-2] if len(block.path) > 1 else 0] = j
+        parent = block.element.parent.number if block.element.parent else 0
+        pairs = {j - 1, last.get(parent, -1)} - {-1}
+        last[parent] = j
         for i in pairs:
-            a, b = blocks[i].path, block.path
-            common = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            apart = len(a) + len(b) - 2 * common
-            edges[i, j] = edges.get((i, j), 0) + round(SCALE * 1.6 / (1 + apart))
+            steps = apart(blocks[i].element, block.element, 2 * SCALE * 2)
+            edges[i, j] = edges.get((i, j), 0) + round(SCALE * 1.6 / (1 + steps))
     return edges
 
 
@@ -255,6 +355,8 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
 
 def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
+    if all(not b.element.depth for b in blocks):  # no elements to tell content by
+        return "\n".join(b.text for b in blocks)
     return "\n".join(b.text for b, content in zip(blocks, label_blocks(blocks)) if content)
 
 

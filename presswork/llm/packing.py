@@ -41,6 +41,8 @@ _NOTHING = re.compile(rb"(?!)")
 #: Characters tokenised before the caches are looked at again, and most words kept in them.
 SLICE = 1 << 21
 CACHE_WORDS = 250_000
+#: Bytes of words, with four of ids for each, learned before the caches are emptied.
+CACHE_BYTES = 1 << 27
 
 
 class WordTokenizer:
@@ -67,6 +69,10 @@ class WordTokenizer:
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.learned = 0
+        # tokens that are found in the text as it stands, before it is lower-cased
+        added = [t.content.encode().translate(LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added)) or rb"(?!)")
         probe = "chevêche straße"
         self._encode_words(set(probe.encode().split()))
         if b"".join(map(self.words.get, probe.encode().split())) != np.array(
@@ -75,6 +81,10 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if self.learned > CACHE_BYTES:
+            self.chunks.clear()
+            self.words.clear()
+            self.learned = 0
         for cache in (self.chunks, self.words):
             if len(cache) > CACHE_WORDS:
                 for old in list(islice(cache, CACHE_WORDS // 2)):
@@ -83,12 +93,18 @@ class WordTokenizer:
         for text in texts:
             data = text.encode("utf-8", "replace")
             if self.lower and b"\xcc" not in data and b"\xcd" not in data:
-                data = data.translate(LOWER)
-            chunks = data.split()
+                low = data.translate(LOWER)
+                if self.added.search(low):
+                    chunks = [c if self.added.search(x) else x for c, x in zip(data.split(), low.split())]
+                else:
+                    chunks = low.split()
+            else:
+                chunks = data.split()
             missing.update(chunks)
             split.append(chunks)
         missing -= self.chunks.keys()
         if missing:
+            self.learned += 5 * sum(map(len, missing))
             self._learn(missing)
         known = self.chunks.__getitem__
         return [b"".join(map(known, chunks)) for chunks in split]

@@ -4,11 +4,12 @@
    without the line that announces a quotation ("... wrote:").
 2. Every quoted passage and every paragraph and line of a body is normalised and hashed.
 3. A passage links to the message that wrote it: the latest earlier message of the
-   conversation that has its hash; beyond the conversation the first message that
-   has it. A message answers the message that its level-1 passages quote most, or
+   conversation that has its hash; beyond the conversation, for passages of ``FAR`` characters
+   or more, the first message that has it. A message answers the message that its level-1 passages quote most, or
    else the one before it.
 4. Replies are ordered depth first. Messages that follow the one before them form
-   segments; only the jumps between segments are walked, level by level.
+   segments; only the jumps between segments are walked, and each round doubles the
+   jumps that a segment has behind it, so rounds grow with the logarithm of the depth.
 
 A conversation may hold a third of all rows: "the one before" and "the last that"
 are running values over slices of ``slice_turns`` turns, never over a conversation.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from presswork.session import stage
 
+#: Shorter passages say too little to name a message of another conversation.
+FAR = 12
 _MARK = re.compile(r"[ \t]{0,3}>")
 #: Lines that announce a quotation, in the corpus' languages.
 _ANNOUNCES = re.compile(r".*\b(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.I)
@@ -39,10 +42,10 @@ def levels(text: str) -> list[tuple[int, str]]:
     """(quote level, line without its marks) of each line."""
     lines = []
     for line in re.split(r"\r\n|\r|\n", text):
-        level = 0
-        while m := _MARK.match(line):
-            level, line = level + 1, line[m.end():]
-        lines.append((level, line[1:] if level and line.startswith(" ") else line))
+        level = at = 0
+        while m := _MARK.match(line, at):
+            level, at = level + 1, m.end()
+        lines.append((level, line[at + (level > 0 and line.startswith(" ", at)):]))
     return lines
 
 
@@ -55,8 +58,8 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def parse(text: str | None, least: int = 12):
-    """(body, passages as (level, hash, chars), hashes of the body); shorter pieces than ``least`` have no hash."""
+def parse(text: str | None):
+    """(body, passages as (level, hash, chars), hashes of the body); pieces without a word have no hash."""
     lines = levels(text or "")
     runs: list[tuple[int, list[str]]] = []
     for level, line in lines:
@@ -78,7 +81,7 @@ def parse(text: str | None, least: int = 12):
                 found.add(normal(" ".join(paragraph)))
                 paragraph = []
         found.add(normal(" ".join(part)))
-        return [p for p in found if len(p) >= least]
+        return [p for p in found if p]
 
     for at, (level, part) in enumerate(runs):
         if level:
@@ -150,7 +153,7 @@ def _quoted_turns(heads: DataFrame, slice_turns: int) -> DataFrame:
         "conv_id", "turn", "hash", F.col("last").alias("near_turn"))
     far = written.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
     met = quoted.join(near, ["conv_id", "turn", "hash"]).join(far, "hash", "left")
-    elsewhere = F.col("far.conv_id") != F.col("conv_id")
+    elsewhere = (F.col("far.conv_id") != F.col("conv_id")) & (F.col("chars") >= FAR)
     linked = met.select(
         "conv_id", "turn", "level", "chars",
         F.when(F.col("near_turn").isNotNull(), F.col("conv_id")).when(elsewhere, F.col("far.conv_id")).alias("o_conv"),
@@ -194,15 +197,17 @@ def build_conversations(messages: DataFrame, slice_turns: int = 1024) -> DataFra
     attached = stage(segments.join(
         tree.select("conv_id", F.col("turn").alias("parent_turn"), F.col("segment").alias("above")), ["conv_id", "parent_turn"], "left"),
         "quotes-segments")
-    level = attached.where(F.col("parent_turn").isNull()).select(
-        "conv_id", "segment", F.lit(0).alias("depth"), F.array().cast("array<long>").alias("path"))
-    found = level = stage(level, "quotes-level")
-    while not level.isEmpty():
-        above = level.select("conv_id", F.col("segment").alias("above"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-        level = stage(attached.join(above, ["conv_id", "above"]).select(
-            "conv_id", "segment", (F.col("_depth") + 1).alias("depth"),
-            F.concat("_path", F.array(F.lit(1).cast("long"), -F.col("parent_turn"), F.col("segment"))).alias("path")), "quotes-level")
-        found = found.union(level)
+    root = F.col("parent_turn").isNull()
+    none = F.array().cast("array<long>")
+    found = stage(attached.select(
+        "conv_id", "segment", "above", F.when(root, 0).otherwise(1).alias("depth"),
+        F.when(root, none).otherwise(F.array(F.lit(1).cast("long"), -F.col("parent_turn"), F.col("segment"))).alias("path")), "quotes-jumps")
+    while not found.where(F.col("above").isNotNull()).isEmpty():
+        up = found.select("conv_id", F.col("segment").alias("above"), F.col("above").alias("_next"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        found = stage(found.join(up, ["conv_id", "above"], "left").select(
+            "conv_id", "segment", F.col("_next").alias("above"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            F.concat(F.coalesce("_path", none), "path").alias("path")), "quotes-jumps")
+    found = found.drop("above")
     ordered = tree.join(found, ["conv_id", "segment"]).select(
         "conv_id", "turn", "parent_turn", "quoted_conv", "quoted_turn", F.coalesce("n_quotes", F.lit(0).cast("long")).alias("n_quotes"),
         "depth", F.concat("path", F.array(F.lit(0).cast("long"), F.col("turn"), F.lit(0).cast("long"))).alias("reply_order"))

@@ -1,7 +1,11 @@
 import itertools
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -55,11 +59,19 @@ def test_pieces_and_sequences(spark):
 def test_words_are_tokenised_like_whole_texts():
     encoder = packing.WordTokenizer(tokenizer_path())
     texts = ["İstanbul's it'll ''s don't 'S “x”…! a1b2 ..'s J̌x ǅ ẞ\x1cy\x85z <|endoftext|> x<|startoftext|>y Σίσυφος ΣΑΣ. e.́ é ×x÷ a b ½",
-             "", " ", "a.́", "word.'s word'.s ÀÉ,ÿ ß!! naïve-x", "日本語 テスト。abc"]
+             "<|ENDOFTEXT|> and <|EndOfText|>!", "<|StartOfText|>AB<|startoftext|>C D", "", " ", "a.́", "word.'s word'.s ÀÉ,ÿ ß!! naïve-x", "日本語 テスト。abc"]
     for text, ids in zip(texts, encoder.ids(texts)):
         assert np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids
 
 
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 100)
+    encoder = packing.WordTokenizer(tokenizer_path())
+    texts = ["x" * 500 + " y", "z1" * 300, "a b c", "x" * 500 + " y"]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [encoder.ids([t])[0] for t in texts] == want and b"z1" * 300 not in encoder.chunks
+
+
 def test_patterns_use_every_piece_once():
     rnd = np.random.default_rng(2)
     for counts in (rnd.integers(0, 50, 33), np.eye(1, 33, 1, dtype=int)[0] * 1000, np.zeros(33, int)):
@@ -242,3 +254,73 @@ def test_replies_in_order(spark, slice_turns):
     other = next(r for r in out if r["conv_id"] == 3)
     assert (other["quoted_conv"], other["quoted_turn"], other["parent_turn"], other["text"]) == (1, 4, None, "yes")
     assert quotes.build_conversations(df.limit(0)).count() == 0
+
+
+def test_short_quotes_link_within_a_conversation(spark):
+    rows = [(1, 0, "Why not?"), (1, 2, "Because it rains today."), (1, 4, "Let us wait then."), (1, 6, "> Why not?\nIt is late."),
+            (2, 0, "> Why not?\nyes"), (2, 2, "> ?!\nno"), (2, 4, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, text string, passages string, own int")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["quoted_conv"], r["quoted_turn"]) for r in quotes.build_conversations(df).collect()}
+    assert got[1, 6] == (0, 1, 0)
+    assert got[2, 0] == (None, None, None) and got[2, 2] == (0, None, None)
+
+
+def test_long_threads_of_jumps(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(quotes, "stage", lambda df, name, inner=quotes.stage: staged.append(name) or inner(df, name))
+    n = 64  # two threads, each message quotes the one before the last
+    rows = [(1, t, f"say {t}" if t < 2 else f"> say {t - 2}\nsay {t}") for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    out = {r["turn"]: r for r in quotes.build_conversations(df).collect()}
+    assert all(out[t]["parent_turn"] == t - 2 for t in range(2, n))
+    assert [t for t in sorted(out, key=lambda t: out[t]["reply_order"])] == [0, 1, *range(3, n, 2), *range(2, n, 2)]
+    assert len(staged) < 16
+
+
+def test_a_line_of_marks():
+    assert quotes.levels(">" * 300_000 + " x") == [(300_000, "x")]
+    assert quotes.levels("> >\t> y\n   >z\n    >w") == [(3, "y"), (1, "z"), (0, "    >w")]
+
+
+TALE = "<p>A whole story with many words in it, that goes on for a while. It says this and that.</p>" * 4
+
+
+@pytest.mark.parametrize("page, ends", [
+    ('<div class="content has-sidebar">{}</div>', True), ('<div class="story" data-id="promo-7">{}</div>', True),
+    ('<div class="content sidebar">{}</div>', True), ('<div data-class="ad" id=main>{}</div>', True),
+    ("<body><button>go {}", True), ("<body><select><option>a {}", True), ("<title>t <body>{}", True), ("<iframe>{}", True),
+    ('<div class="comments">{}</div>', False), ('<div id="relatedPosts">{}</div>', False), ("<aside>{}</aside>", False), ("<script>{}", False),
+])
+def test_names_and_open_elements(page, ends):
+    assert mincut.main_text(page.format(TALE)).endswith("this and that.") == ends
+
+
+def test_pages_of_odd_shape():
+    page = f"<article>{TALE}<ul><li>One item</li><li><a href=x>Two</a></li><li>Three more</li></ul>{TALE}</article>"
+    assert "\nOne item\nTwo\nThree more\n" in mincut.main_text(page)
+    assert mincut.main_text("A short line") == "A short line" and mincut.main_text("a < b and c") == "a < b and c"
+    assert mincut.main_text(f"<article title='a > b'>{TALE}</article><a href=\"x").count("story") == 4
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a href="x', "<button>", "<!--", "</section>", "<a \">'", "<![CDATA[", "<?"])
+def test_tags_are_found_in_linear_time(unit):
+    started = time.time()
+    mincut.main_text(unit * ((1 << 20) // len(unit)))
+    mincut.main_text("<div>" * 8000 + "</section>" * 8000 + "<ul>" + "<li>a" * 8000)
+    assert time.time() - started < 20
+
+
+def plain_blocks(html):
+    """A second reading of well-formed pages: text between block tags outside of what is never content."""
+    html = re.sub(r"(?is)<(script|style|nav|footer|aside|form)\b.*?</\1>|<!--.*?-->|<head\b.*?</head>", "\n", html)
+    inner = re.search(r"(?is)<article\b[^>]*>(.*)</article>", html)
+    parts = re.split(r"(?i)</?(?:p|h[1-6]|li|ul|div|section)\b[^>]*>", inner[1] if inner else "")
+    return [x for x in (" ".join(unescape(re.sub(r"(?i)</?(?:b|a|i|em|span|strong)\b[^>]*>", "", re.sub(r"(?i)<br */?>", " ", x))).split()) for x in parts) if x]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables are not here")
+def test_extraction_equals_a_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = [(mincut.main_text(p["html"]).split("\n"), plain_blocks(p["html"] or "")) for p in pages if "<article" in (p["html"] or "")]
+    same = sum(a == b for a, b in got)
+    assert same >= 0.9 * len(got) > 20
