@@ -189,7 +189,7 @@ def _history(spark, sf):
 
 
 def funnel_run(spark, sf, history=False):
-    urls, hashes = ingest.history_keys(_history(spark, sf)) if history else (None, None)
+    urls, hashes = ingest.history_keys(_history(spark, sf), unique=False) if history else (None, None)
     return ingest.run_funnel(
         fx.pages(spark, sf), fx.KEYWORDS, history_urls=urls, history_hashes=hashes,
         scraped_at=F.lit(SCRAPED_AT).cast("timestamp"))

@@ -16,16 +16,16 @@ PAGE = "page_id bigint, url string, html string"
 
 @query("stream_ingest", f"with {I.funnel_ctes()} select {I.ARTICLE_COLUMNS} from outcomes where outcome = 'saved'")
 def stream_ingest(spark, sf):
-    """Pages arrive in three files, later pages in later files."""
+    """Pages arrive in three lots, later pages later; the stream is taken up again after each."""
     source, out, checkpoint = (stage_path(spark, n) for n in ("page-stream", "stream-out", "stream-check"))
     pages = fx.pages(spark, sf)
     third = int(pages.agg(F.max("page_id")).first()[0]) // 3 + 1
+    at = F.lit(I.SCRAPED_AT).cast("timestamp")
     for part in range(3):
         arrived = pages.where((F.col("page_id") >= part * third) & (F.col("page_id") < (part + 1) * third))
-        arrived.coalesce(1).write.mode("append").parquet(source)
-    stream = stream_ingest_mod.read_page_stream(spark, source, PAGE, 1)
-    at = F.lit(I.SCRAPED_AT).cast("timestamp")
-    stream_ingest_mod.ingest_stream(stream, out, checkpoint, fx.KEYWORDS, scraped_at=at).awaitTermination()
+        arrived.write.mode("append").parquet(source)
+        stream = stream_ingest_mod.read_page_stream(spark, source, PAGE)
+        stream_ingest_mod.ingest_stream(stream, out, checkpoint, fx.KEYWORDS, scraped_at=at).awaitTermination()
     saved = spark.read.schema(f"page_id bigint, {schemas.ARTICLE}, batch_id bigint").parquet(out)
     return saved.drop("batch_id").withColumn(
         "keywords_found", F.array_join(F.sort_array(F.map_keys("keywords_found")), "|"))

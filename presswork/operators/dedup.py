@@ -50,6 +50,15 @@ def new_rows(df: DataFrame, history: DataFrame, key: str) -> DataFrame:
     return df.join(history.select(key), key, "left_anti")
 
 
+def known_keys(history: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of ``rows`` that ``history`` holds.
+
+    The history is the side that is read through: with few rows they are sent to it and
+    it is never shuffled, however long it has grown.  What comes out is no larger than ``rows``.
+    """
+    return history.select(key).join(rows.select(key), key, "left_semi").distinct()
+
+
 def cap_per_group(df: DataFrame, group: list[str], order: list[str], n: int, salts: int = SALTS) -> DataFrame:
     """The first ``n`` rows of each group by ``order``, exactly.
 

@@ -19,20 +19,23 @@ def largest_block(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(key, block.alias("block")).where(F.col("block").isNotNull())
 
 
-def extract_content(pages: DataFrame, key: str, keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """``key``, kept columns, ``title``, ``content``: the first strategy that qualifies.
+def extracted(pages: DataFrame, key: str, keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``key``, kept columns, ``is_html``, ``title``, ``content``: the first strategy that qualifies.
 
     One pass over the HTML in whole rows, no shuffle: a later strategy is only
-    computed for the pages that the one before it left open.  The result is
-    written, since it is read more than once and expensive.
+    computed for the pages that the one before it left open.
     """
     clean = F.col("_clean")
-    found = pages.withColumn("_clean", H.strip_noise(F.col("html"))).select(
+    return pages.withColumn("_clean", H.strip_noise(F.col("html"))).withColumn("is_html", H.is_html(F.col("html"))).select(
         key,
         *keep,
-        H.is_html(F.col("html")).alias("is_html"),
+        "is_html",
         H.title_of(clean).alias("title"),
-        F.when(H.is_html(F.col("html")), F.coalesce(
+        F.when(F.col("is_html"), F.coalesce(
             H.main_text(clean), H.largest_block(clean), H.long_paragraphs(clean))).alias("content"),
     )
-    return stage(found, "extract")
+
+
+def extract_content(pages: DataFrame, key: str, keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``extracted`` as a written table, for results that are read more than once."""
+    return stage(extracted(pages, key, keep), "extract")

@@ -30,7 +30,7 @@ def collect(
     scraped_at: Column | None = None,
 ) -> IngestRun:
     """Discover candidate URLs, take their stored pages and run the funnel against earlier articles."""
-    urls, hashes = history_keys(articles) if articles is not None else (None, None)
+    urls, hashes = history_keys(articles, unique=False) if articles is not None else (None, None)
     found = discover(sources.sites, pages, docs, urls, sources.limits)
     candidates = pages.join(found.select("url"), "url", "left_semi")
     return run_funnel(candidates, sources.keywords, sources.limits, history_urls=urls,

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from presswork.config import CrawlLimits
@@ -112,7 +113,22 @@ def test_repeated_urls_follow_the_rows_in_order(spark):
                 urls |= {url} - {None}
                 hashes.add(digest)
         df = spark.createDataFrame(rows, "page_id long, url string, content_hash string").repartition(3)
-        assert {r[0] for r in ingest.first_of_both(df, "page_id", "url", "content_hash").collect()} == want
+        for in_order, rounds in ((1 << 18, 2), (0, 9), (8, 0), (3, 1)):
+            got = ingest.first_of_both(df, "page_id", "url", "content_hash", in_order, rounds)
+            assert {r[0] for r in got.collect()} == want
+        assert ingest.first_of_both(df.limit(0), "page_id", "url", "content_hash").count() == 0
+
+
+@pytest.mark.parametrize("in_order", [1 << 18, 6000])
+def test_chains_take_few_jobs(spark, monkeypatch, in_order):
+    staged = []
+    monkeypatch.setattr(ingest, "stage", lambda df, name, inner=ingest.stage: staged.append(name) or inner(df, name))
+    n = 5000  # each row shares its URL with the row before it and its text with the row after it
+    rows = [(c * n + i, f"u{c}-{(i + 1) // 2}", f"h{c}-{i // 2}") for c in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, content_hash string").repartition(4)
+    got = {r[0] for r in ingest.first_of_both(df, "page_id", "url", "content_hash", in_order, rounds=1).collect()}
+    assert got == {c * n + i for c in range(2) for i in range(0, n, 2)}
+    assert len(staged) < 8
 
 
 def test_second_page_of_a_saved_url_is_a_duplicate_url(spark):
@@ -125,3 +141,11 @@ def test_second_page_of_a_saved_url_is_a_duplicate_url(spark):
     assert {r["page_id"]: r["outcome"] for r in run.outcomes.collect()} == {
         1: "saved", 2: "duplicate_url", 3: "duplicate_url", 4: "saved", 5: "duplicate_url"}
     assert sorted(r["page_id"] for r in run.articles.collect()) == [1, 4]
+
+
+def test_history_may_hold_digests(spark):
+    page = "<html><article><p>" + "robot words " * 60 + "{}</p></article></html>"
+    pages = spark.createDataFrame([(i, f"http://a/{i}", page.format(i)) for i in range(4)], "page_id long, url string, html string")
+    ids = spark.createDataFrame([(hashlib.sha256(f"http://a/{i}".encode()).hexdigest(),) for i in (1, 1, 3, 9)], "id string")
+    run = ingest.run_funnel(pages, ["robot"], history_urls=ids)
+    assert {r["page_id"]: r["outcome"] for r in run.outcomes.collect()} == {0: "saved", 1: "duplicate_url", 2: "saved", 3: "duplicate_url"}

@@ -1,6 +1,8 @@
 """Files, configuration and streams."""
 
 import json
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from presswork import schemas
 from presswork.config import CrawlLimits, label_dimension
 from presswork.functions.urls import netloc
 from presswork.operators.inference import lexicon_stage
+from presswork.operators.ingest import run_funnel
 from presswork.operators.scoring import Lexicon
 from presswork.plans import corpus
 from presswork.sources import tables
@@ -118,6 +121,45 @@ def test_replayed_batches_add_no_rows(spark, tmp_path):
     assert read() == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 2, None])
+def test_stream_equals_one_run(spark, tmp_path, files_per_batch):
+    schema = "page_id bigint, url string, html string"
+    pages = [page(i, f"robot {'abc'[i % 3]} {i // 4} " * 80 if i % 7 else "short") for i in range(24)]
+    pages += [(40 + i, f"https://h/{i}", p[2]) for i, p in enumerate(pages[:6])]
+    for lot in range(0, 30, 6):
+        spark.createDataFrame(pages[lot:lot + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)  # files are taken up in the order of their times
+    out = str(tmp_path / "out")
+    stream = stream_ingest.read_page_stream(spark, str(tmp_path / "in"), schema, files_per_batch)
+    stream_ingest.ingest_stream(stream, out, str(tmp_path / "check"), ["robot"]).awaitTermination()
+    saved = stream_ingest.article_history(spark, out)
+    want = run_funnel(spark.createDataFrame(pages, schema), ["robot"]).articles
+    assert sorted(r["page_id"] for r in saved.collect()) == sorted(r["page_id"] for r in want.collect())
+    ids, hashes = stream_ingest.saved_keys(spark, out, 99)
+    assert sorted(r[0] for r in ids.collect()) == sorted(r["id"] for r in saved.collect())
+    assert sorted(r[0] for r in hashes.collect()) == sorted(r["content_hash"] for r in saved.collect())
+
+
+def test_a_batch_reads_no_earlier_article(spark, tmp_path, monkeypatch):
+    schema, out = "page_id bigint, url string, html string", str(tmp_path / "articles")
+    rows = [page(i, f"robot {i} " * 80) for i in range(6)]
+    stream_ingest.ingest_batch(spark.createDataFrame(rows[:4], schema), 0, out, ["robot"])
+    for file in Path(out, "batch_id=0").glob("*.parquet"):
+        file.write_bytes(b"no article can be read from here")
+    again = [(9, *rows[1][1:]), (10, "https://h/10", rows[2][2]), *rows[4:]]
+    stream_ingest.ingest_batch(spark.createDataFrame(again, schema), 1, out, ["robot"])
+    assert sorted(r["page_id"] for r in spark.read.parquet(f"{out}/batch_id=1").collect()) == [4, 5]
+
+
+def test_keys_of_a_table_without_them(spark, tmp_path):
+    schema, out = "page_id bigint, url string, html string", str(tmp_path / "articles")
+    first = run_funnel(spark.createDataFrame([page(1, "robot a " * 80)], schema), ["robot"]).articles
+    first.write.parquet(f"{out}/batch_id=0")
+    stream_ingest.write_keys(stream_ingest.article_history(spark, out), 0, out)
+    stream_ingest.ingest_batch(spark.createDataFrame([page(1, "robot a " * 80), page(2, "robot b " * 80)], schema), 1, out, ["robot"])
+    assert sorted((r["batch_id"], r["page_id"]) for r in stream_ingest.article_history(spark, out).collect()) == [(0, 1), (1, 2)]
+
+
 def test_stream_of_requests(spark, tmp_path):
     lex = Lexicon({"Artificial Intelligence": ["robot"], "Others": ["garden"]})
     bodies = [(1, '{"text": "robot robot robot"}'), (2, '{"text": "garden garden"}'), (3, "{}"), (4, "not json")]
