@@ -175,6 +175,12 @@ def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
     return stage(from_sql(spark, sf, CRAWL_PAGES_SQL), "pages")  # stored pages
 
 
+# ---- pages with dot segments in their links ------------------------------------------
+_DOTTED = ["/a/../b@", "/./a@", "/a/@/..", "/../c@?x=/d/../e", "/..", "/@/.", "/a.b/..c@/d.", "//h.example/x/../@", "http://h.example/y/../@"]
+_DOTTED_HTML = "".join(f'<a href="{target}">dots</a>' for target in _DOTTED)
+DOTTED_SQL = f"select page_id, url, concat(html, replace('{_DOTTED_HTML}', '@', cast(page_id as string))) as html from {{pages}}"
+
+
 # ---- pages in other mark-up ------------------------------------------------------
 _CLASSES = {2: "article-content", 3: "post-content", 4: "entry-content", 5: "content-body",
             6: "article-body", 8: "story-body"}

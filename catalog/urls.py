@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query
 from presswork import config
-from presswork.config import CrawlLimits
 from presswork.functions import urls as U
 from presswork.operators import dedup, discover, links
 
@@ -44,11 +43,18 @@ def anchor_ctes(pages: str, name: str = "links") -> str:
          '{WS}+', ' ', 'g')) as anchor_text from {name}_flat)"""
 
 
+def undotted(href: str) -> str:
+    """SQL of the dot segments that the fixture has: one step up at a time, at the root, and none."""
+    here = f"regexp_replace(regexp_extract({href}, '^([^?#]*)', 1), '/\\.(/|$)', '/')"
+    up = f"regexp_replace({here}, '/[^/?#.]+/\\.\\.(/|$)', '/')"
+    return f"(regexp_replace({up}, '^/\\.\\.(/|$)', '/') || regexp_extract({href}, '^[^?#]*(.*)$', 1))"
+
+
 def resolved(url: str, href: str) -> str:
     base = f"regexp_extract({url}, '^([a-zA-Z]+://[^/?#]*)', 1)"
     return (
         f"case when starts_with({href}, '//') then regexp_extract({url}, '^([a-zA-Z]+:)', 1) || {href} "
-        f"when starts_with({href}, '/') then {base} || {href} when starts_with({href}, 'http') then {href} end"
+        f"when starts_with({href}, '/') then {base} || {undotted(href)} when starts_with({href}, 'http') then {href} end"
     )
 
 
@@ -57,10 +63,10 @@ def page_links(spark, sf):
     return links.extract_links(fx.pages(spark, sf), ("page_id",)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("resolved_links", f"""with {anchor_ctes('pages')}
+@query("resolved_links", f"""with dotted as ({fx.duck(fx.DOTTED_SQL)}), {anchor_ctes('dotted')}
 select page_id, pos, target from (select page_id, pos, {resolved('url', 'href')} as target from links) where target is not null""")
 def resolved_links(spark, sf):
-    return links.resolved_links(fx.pages(spark, sf), ("page_id", "url")).select(
+    return links.resolved_links(fx.from_sql(spark, sf, fx.DOTTED_SQL), ("page_id", "url")).select(
         "page_id", F.col("pos").cast("long").alias("pos"), "target")
 
 
@@ -133,25 +139,40 @@ LOCS = f"""locs as (select kind, chunk, url, unnest(range(len(found))) as pos, u
 MAP_URLS = f"""map_urls as (
   select chunk, url, loc, min(pos) as first_pos from locs where kind = 'map' and {likely('loc')} group by chunk, url, loc),
 map_pos as (select chunk, url, loc, row_number() over (partition by url order by first_pos) - 1 as pos from map_urls)"""
-CLOSURE = """closure as (
+def closure_ctes(levels: str) -> str:
+    """What the index leads to; with cycles each level may hold every map, so levels end at their number."""
+    return f"""closure as (
   select 0 as site, url, 1 as depth from docs where url = 'https://maps.example.org/index-0.xml'
-  union all
+  union
   select c.site, l.loc as url, c.depth + 1 as depth from closure c
   join locs l on l.url = c.url and l.kind = 'index' join docs d on d.url = l.loc
-  where c.depth < 5 and l.loc <> c.url),
+  where c.depth < {levels} and l.loc <> c.url),
 reached as (select site, url, min(depth) as depth from closure group by site, url)"""
 
 
+CLOSURE = closure_ctes("(select count(*) from docs)")
+
+
 @query("sitemap_urls", f"{DOCS}, {LOCS}, {MAP_URLS} select chunk, pos, loc from map_pos")
 def sitemap_urls(spark, sf):
     return discover.sitemap_urls(fx.docs(spark, sf, "map"), ("chunk",)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("sitemap_closure", f"{DOCS}, {LOCS}, {CLOSURE} select url, depth from reached")
-def sitemap_closure(spark, sf):
+def _closure(spark, sf, max_depth=None):
     seeds = spark.createDataFrame([(0, "https://maps.example.org/index-0.xml")], "site int, url string")
     docs = fx.docs(spark, sf).where("kind <> 'feed'")
-    return discover.expand_sitemaps(docs, seeds, 5).select("url", "depth")
+    return discover.expand_sitemaps(docs, seeds, max_depth).select("url", "depth")
+
+
+@query("sitemap_closure", f"{DOCS}, {LOCS}, {CLOSURE} select url, depth from reached")
+def sitemap_closure(spark, sf):
+    return _closure(spark, sf)
+
+
+@query("sitemap_closure_nested_5", f"{DOCS}, {LOCS}, {closure_ctes('5')} select url, depth from reached")
+def sitemap_closure_nested_5(spark, sf):
+    """The stock limit of nested sitemaps."""
+    return _closure(spark, sf, 5)
 
 
 FEED_URLS = """feed_raw as (select chunk, url,
@@ -170,15 +191,29 @@ def feed_urls(spark, sf):
         "chunk", F.col("pos").cast("long").alias("pos"), F.trim("loc").alias("loc"))
 
 
+FOUND_CTES = f"""found as (select page_id, url, min(pos) as pos, loc from (
+        select page_id, url, pos, {normal('target')} as loc from (
+          select page_id, url, pos, {resolved('url', 'href')} as target from links) r where target is not null) n
+      where {likely('loc')} group by page_id, url, loc),
+crawl_pos as (select url, loc, row_number() over (partition by url order by pos) - 1 as pos from found)"""
+CRAWL_CTES = f"""crawl as ({fx.duck(fx.CRAWL_PAGES_SQL)}), {anchor_ctes("crawl")},
+targets as (select url as src, pos, {resolved('url', 'href')} as target from links
+  where regexp_matches(lower(anchor_text), 'next|older|previous|more|load'))"""
+
+
 def crawl_ctes(seeds: str) -> str:
+    """All that is reached, with the first level that reaches it; a page's targets are looked up once per level."""
+    return f"""{CRAWL_CTES}, steps as (select distinct src, target from targets where target in (select url from crawl)),
+walk as (
+  select site, url, 0 as depth from ({seeds}) s join crawl using (url)
+  union
+  select w.site, t.target, w.depth + 1 from walk w join steps t on t.src = w.url where w.depth < (select count(*) from crawl)),
+visited as (select site, url, min(depth) as depth from walk group by site, url), {FOUND_CTES}"""
+
+
+def limited_crawl_ctes(seeds: str) -> str:
     """Breadth-first levels 0 to 10, each with the first five unvisited pagination targets per page."""
-    ctes = [
-        f"crawl as ({fx.duck(fx.CRAWL_PAGES_SQL)})",
-        anchor_ctes("crawl"),
-        f"""targets as (select url as src, pos, {resolved('url', 'href')} as target from links
-          where regexp_matches(lower(anchor_text), 'next|older|previous|more|load'))""",
-        f"seen_0 as (select site, url, 0 as depth from ({seeds}) s join crawl using (url))",
-    ]
+    ctes = [CRAWL_CTES, f"seen_0 as (select site, url, 0 as depth from ({seeds}) s join crawl using (url))"]
     for d in range(1, 11):
         ctes.append(f"""level_{d} as (
           select distinct site, target as url, {d} as depth from (
@@ -188,23 +223,29 @@ def crawl_ctes(seeds: str) -> str:
             qualify row_number() over (partition by f.site, t.src order by t.pos) <= 5) n
           where target in (select url from crawl))""")
         ctes.append(f"seen_{d} as (select * from seen_{d - 1} union all select * from level_{d})")
-    ctes.append(f"""found as (select page_id, url, min(pos) as pos, loc from (
-        select page_id, url, pos, {normal('target')} as loc from (
-          select page_id, url, pos, {resolved('url', 'href')} as target from links) r where target is not null) n
-      where {likely('loc')} group by page_id, url, loc)""")
-    ctes.append("crawl_pos as (select url, loc, row_number() over (partition by url order by pos) - 1 as pos from found)")
-    return ", ".join(ctes)
+    return ", ".join([*ctes, FOUND_CTES])
 
 
 SEEDS = "select 0 as site, 'https://crawl.example.org/p/0' as url union all select 1, 'https://crawl.example.org/p/7'"
 
 
-@query("category_crawl", f"""with {crawl_ctes(SEEDS)}
-select s.site, s.depth, s.url as page, p.pos, p.loc from seen_10 s join crawl_pos p on p.url = s.url""")
-def category_crawl(spark, sf):
+def _crawl(spark, sf, *limits):
     seeds = spark.createDataFrame(
         [(0, "https://crawl.example.org/p/0"), (1, "https://crawl.example.org/p/7")], "site int, url string")
-    return discover.crawl_urls(fx.crawl_pages(spark, sf), seeds, config.CRAWL_MAX_DEPTH, config.CRAWL_FANOUT).withColumn("pos", F.col("pos").cast("long"))
+    return discover.crawl_urls(fx.crawl_pages(spark, sf), seeds, *limits).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("category_crawl", f"""with recursive {crawl_ctes(SEEDS)}
+select s.site, s.depth, s.url as page, p.pos, p.loc from visited s join crawl_pos p on p.url = s.url""")
+def category_crawl(spark, sf):
+    return _crawl(spark, sf)
+
+
+@query("category_crawl_depth_10_fanout_5", f"""with {limited_crawl_ctes(SEEDS)}
+select s.site, s.depth, s.url as page, p.pos, p.loc from seen_10 s join crawl_pos p on p.url = s.url""")
+def category_crawl_depth_10_fanout_5(spark, sf):
+    """The stock limits of a crawl."""
+    return _crawl(spark, sf, config.CRAWL_MAX_DEPTH, config.CRAWL_FANOUT)
 
 
 SITES = [
@@ -221,7 +262,7 @@ SITES = [
 raw as (
   select 0 as site_pos, 0 as depth, '' as doc, pos, loc as url from feed_pos where url = 'https://maps.example.org/feed-1.xml'
   union all select 1, r.depth, r.url, m.pos, m.loc from reached r join map_pos m on m.url = r.url
-  union all select 2, s.depth, s.url, p.pos, p.loc from seen_10 s join crawl_pos p on p.url = s.url),
+  union all select 2, s.depth, s.url, p.pos, p.loc from visited s join crawl_pos p on p.url = s.url),
 clean as (select site_pos, depth, doc, pos, {normal('url')} as url from raw),
 kept as (select * from clean where starts_with(url, 'http') and {likely('url')}
   and url not in (select url from pages where page_id % 7 = 0)),
@@ -230,5 +271,4 @@ select site_pos, url from per_site qualify row_number() over (partition by url o
 def discover_all(spark, sf):
     sites = spark.createDataFrame(SITES, "site_pos int, domain string, type string, feed string, url string")
     history = fx.pages(spark, sf).where("page_id % 7 = 0").select("url")
-    stock = CrawlLimits(sitemap_max_nested=5, crawl_max_depth=config.CRAWL_MAX_DEPTH, crawl_fanout=config.CRAWL_FANOUT)
-    return discover.discover(sites, fx.crawl_pages(spark, sf), fx.docs(spark, sf), history, stock).select("site_pos", "url")
+    return discover.discover(sites, fx.crawl_pages(spark, sf), fx.docs(spark, sf), history).select("site_pos", "url")

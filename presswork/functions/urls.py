@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from presswork import config
+from presswork.functions.html import let
 from presswork.functions.text import strip_ws
 
 SCHEME = r"[a-zA-Z][a-zA-Z0-9+.-]*:"
@@ -31,16 +32,42 @@ def base_url(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, rf"^({SCHEME})", 1), F.lit("//"), netloc(url))
 
 
+def remove_dot_segments(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..``; a step above the root stays at the root."""
+
+    def folded(segments: Column) -> Column:
+        kept = F.aggregate(segments, F.array().cast("array<string>"), lambda out, s: F.when(
+            s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        ).when(s == ".", out).otherwise(F.concat(out, F.array(s))))
+        ends = F.element_at(segments, -1).isin(".", "..")
+        return F.array_join(F.concat(kept, F.when(ends, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+
+    def rooted(joined: Column) -> Column:
+        return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+    return F.when(F.contains(path, F.lit("/.")), let(let(F.split(path, "/"), folded), rooted)).otherwise(path)
+
+
+def _from_root(href: Column) -> Column:
+    """A target from the root with its dot segments resolved; parameters, query and fragment as they are, if not empty."""
+    whole = F.regexp_extract(href, r"^([^?#]*)", 1)
+    parameters = F.regexp_extract(whole, r"(;[^/]*)$", 1)
+    path = F.substring(whole, F.lit(1), F.length(whole) - F.length(parameters))
+    rest = F.regexp_replace(F.substring(href, F.length(whole) + 1, F.length(href)), r"#$", "")
+    rest = F.regexp_replace(rest, r"^\?(#.*)?$", "$1")
+    return F.concat(remove_dot_segments(path), F.when(parameters == ";", "").otherwise(parameters), rest)
+
+
 def resolve_href(page_url: Column, href: Column) -> Column:
     """Absolute form of an anchor target; NULL for anything but http links.
 
-    Root-relative targets get the page's scheme and host, ``//host/x`` gets its
-    scheme; relative paths, ``mailto:`` and the like are dropped.
+    Root-relative targets get the page's scheme and host and lose their dot segments,
+    ``//host/x`` gets its scheme; relative paths, ``mailto:`` and the like are dropped.
     """
     scheme = F.regexp_extract(page_url, rf"^({SCHEME})", 1)
     return (
         F.when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(base_url(page_url), href))
+        .when(href.startswith("/"), F.concat(base_url(page_url), _from_root(href)))
         .when(href.startswith("http"), href)
     )
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import count
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.config import CrawlLimits
@@ -13,8 +11,8 @@ from presswork.functions import urls as U
 from presswork.functions.text import strip_ws
 from presswork.operators.dedup import cap_per_group, cap_total, first_wins, new_rows
 from presswork.operators.links import anchors
+from presswork.operators.reach import reach
 from presswork.operators.rows import array_rows
-from presswork.session import stage
 
 LOC = r"(?s)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?loc\s*>"
 PLAIN_LOC = r"<loc>(.*?)</loc>"
@@ -60,29 +58,11 @@ def sitemap_urls(docs: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame
 def expand_sitemaps(docs: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Stored sitemaps reachable from ``seeds`` (``site, url``): ``site, url, depth``, at most ``max_depth`` levels if given.
 
-    One join and one aggregate per level; the frontier is distinct, so a sitemap
-    listed by many indexes is joined once, and a visited one is never followed
-    again.  Each level is written out, which keeps the plan of the next one short.
+    Indexes are parsed once into edges; see ``reach`` for the levels.
     """
     indexes = docs.where(is_sitemap_index(F.col("xml"))).select(F.col("url").alias("src"), "xml")
-    edges = stage(array_rows(indexes, ["src"], sitemap_locs(F.col("xml")), "url", None), "sitemap-edges")
-    frontier = seeds.select("site", "url").distinct().withColumn("depth", F.lit(1))
-    reached = frontier
-    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
-        listed = frontier.select("site", F.col("url").alias("src")).join(edges, "src").select("site", "url")
-        frontier = stage(_unseen(listed, reached).withColumn("depth", F.lit(depth)), f"sitemaps-{depth}")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached.join(docs.select("url"), "url", "left_semi")
-
-
-def _unseen(found: DataFrame, reached: DataFrame) -> DataFrame:
-    """Distinct ``site, url`` of ``found`` that were not reached before: one aggregate, combined on the map side."""
-    both = found.withColumn("_old", F.lit(0)).unionByName(
-        reached.select("site", "url", F.lit(1).alias("_old"))
-    )
-    return both.groupBy("site", "url").agg(F.max("_old").alias("_old")).where("_old = 0").drop("_old")
+    edges = array_rows(indexes, ["src"], sitemap_locs(F.col("xml")), "url")
+    return reach(edges, seeds, 1, max_depth).join(docs.select("url"), "url", "left_semi")
 
 
 # ---- feeds -----------------------------------------------------------------
@@ -116,45 +96,12 @@ def crawl_pages(
 
     Breadth first: each page passes on its pagination targets, or its first ``fanout``,
     that no earlier level of the same site visited, whether or not it is stored.
-    The ranking window covers one page's links; the level's edges come from one
-    join on the page URL.
+    Pages are parsed once into edges; see ``reach`` for the levels.
     """
-    edges = stage(
-        array_rows(
-            pages.withColumnRenamed("url", "src"),
-            ["src"],
-            F.filter(
-                F.transform(
-                    anchors(F.col("html")),
-                    lambda a: F.when(
-                        U.is_pagination(a["anchor_text"]), U.resolve_href(F.col("src"), a["href"])
-                    ),
-                ),
-                lambda t: t.isNotNull(),
-            ),
-            "url",
-        ),
-        "pagination",
-    )
-    frontier = seeds.select("site", "url").distinct().withColumn("depth", F.lit(0))
-    reached = frontier
-    by_page = Window.partitionBy("site", "src").orderBy("pos")
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = (
-            frontier.select("site", F.col("url").alias("src"))
-            .join(edges, "src")
-            .join(reached.select("site", "url"), ["site", "url"], "left_anti")
-            .withColumn("_rank", F.row_number().over(by_page))
-            .where(F.lit(True) if fanout is None else F.col("_rank") <= fanout)
-            .select("site", "url")
-            .distinct()
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = stage(step, f"crawl-{depth}")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached.join(pages.select("url"), "url", "left_semi")
+    targets = F.transform(anchors(F.col("html")), lambda a: F.when(
+        U.is_pagination(a["anchor_text"]), U.resolve_href(F.col("src"), a["href"])))
+    edges = array_rows(pages.withColumnRenamed("url", "src"), ["src"], F.filter(targets, lambda t: t.isNotNull()), "url")
+    return reach(edges, seeds, 0, max_depth, fanout).join(pages.select("url"), "url", "left_semi")
 
 
 def page_article_links(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -167,3 +167,13 @@ def test_labels_names(spark):
 def test_main_text_of_an_upper_case_page(spark):
     page = f"<ARTICLE><P>{LONG}</P></ARTICLE>"
     assert apply(spark, [page], H.main_text(H.strip_noise(F.col("v")))) == [LONG.strip()]
+
+
+def test_dot_segments(spark):
+    from urllib.parse import urljoin
+
+    hrefs = ["/a/../b", "/./a", "/a/b/..", "/a/b/.", "/..", "/../..", "/.", "/", "/a//b/../c", "/a/../../b?x=/../y#/./z", "/a/..;p?q", "/a;x/../b", "/a/b;p",
+             "/.../x", "/..a/.b", "/a?", "/a#", "/a?#", "/a?#f", "/a;", "//h/x/../y", "/a/./b/./../c/", "/é/../ü"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hrefs)], "i int, h string")
+    got = [r[0] for r in df.orderBy("i").select(U.resolve_href(F.lit("https://u@h.example:8/p/q?x"), F.col("h"))).collect()]
+    assert got == [urljoin("https://u@h.example:8", h) for h in hrefs]
