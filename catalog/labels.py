@@ -102,6 +102,37 @@ def score_pandas(spark, sf):
     return scoring.to_long(scored, "doc_id").select("doc_id", "label", F.round("score", 6).alias("score"))
 
 
+def _odd(scorer):
+    """A model that cannot take texts of an odd length, and whose slices are single texts."""
+    def score(texts: pd.Series) -> pd.DataFrame:
+        if (texts.str.len() % 2).any():
+            raise ValueError("odd")
+        return scorer(texts)
+
+    return score
+
+
+@query("score_failures", f"""{fx.SCORES_CTE} select s1.doc_id, label, round(case when length(text) % 2 = 1 then 0.0 else score end, 6) as score,
+  length(text) % 2 = 1 as score_error from s1 join documents d on d.doc_id = s1.doc_id""")
+def score_failures(spark, sf):
+    """Failing slices score 0 and say so; the model is opened on the worker."""
+    docs = fx.documents(spark, sf).select("doc_id", "text")
+    model = scoring.Opened("odd-lexicon", lambda: _odd(lexicon_scorer(fx.STAGE1)))
+    scored = scoring.score_labels(docs, CATEGORIES, model, "text", "scores", batch=1)
+    return scored.select("doc_id", "score_error", F.inline("scores")).withColumn("score", F.round("score", 6))
+
+
+@query("score_gated", f"""{fx.SCORES_CTE} select s2.doc_id, label, round(score, 6) as score from s2
+where s2.doc_id in (select doc_id from s1 where label = '{config.GATE_CATEGORY}' and score >= 0.6)""")
+def score_gated(spark, sf):
+    """Rows outside the gate never reach the second model."""
+    first = scoring.score_lexicon(fx.documents(spark, sf).select("doc_id", "text"), fx.STAGE1, "text", "_first")
+    score = F.try_element_at(F.map_from_entries("_first"), F.lit(config.GATE_CATEGORY))
+    gated = first.withColumn("inside", score >= config.GATE_THRESHOLD).drop("_first")
+    scored = scoring.score_labels(gated, ISSUES, lexicon_scorer(fx.STAGE2), "text", "scores", where="inside")
+    return scoring.to_long(scored, "doc_id").select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
 SINGLE_CTE = f"""with texts as (select doc_id, split_part(text, chr(10), 1) || ' ' || array_to_string(
   string_split(trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')), ' '), ' ') as text from documents),
 {fx.duck_lexicon(fx.STAGE1, None, 'ss', 'texts')},

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.session import stage
+
 SALTS = 256
-RANK_BUCKET_HEX = 3  # 16 ** 3 buckets
+#: Hex digits that cut a bucket at a time, of how many, and most rows of a bucket that is sorted.
+RANK_DIGITS, DIGEST_DIGITS = 3, 32
+RANK_BUCKET_ROWS = 1 << 16
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -80,62 +84,83 @@ def cap_per_group(df: DataFrame, group: list[str], order: list[str], n: int, sal
 def cap_total(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows overall by (group, order), for groups that are already capped.
 
-    Only the per-group counts are accumulated in one task (one row per source,
-    never one per URL); rows are ranked inside their group.
+    Groups get their offsets in two levels: running counts inside ranges of groups, and
+    the totals of the ranges before, one number per range.  No task sees all groups, and
+    rows are ranked inside their group.
     """
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = stage(counts.repartitionByRange(*group).withColumn("_range", F.spark_partition_id()), "group-counts")
+    totals = ranged.groupBy("_range").agg(F.sum("_rows").alias("rows")).agg(
+        F.collect_list(F.struct(F.col("_range").alias("range"), "rows")).alias("totals")).scalar()
+    before = F.aggregate(F.filter("_totals", lambda t: t["range"] < F.col("_range")), F.lit(0).cast("long"), lambda x, t: x + t["rows"])
+    inside = Window.partitionBy("_range").orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        ranged.withColumn("_totals", totals)
+        .withColumn("_offset", before + F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
         .where(F.col("_offset") < n)
-        .drop("_rows")
+        .select(*[F.col(g).alias(f"_of_{g}") for g in group], "_offset")
     )
     within = Window.partitionBy(*group).orderBy(*order)
     return (
-        df.join(offsets, group)
+        df.join(offsets, _same(group))
         .withColumn("_rank", F.row_number().over(within) + F.col("_offset"))
         .where(F.col("_rank") <= n)
-        .drop("_rank", "_offset")
+        .select(*df.columns)
     )
 
 
+def _same(columns: list[str]) -> Column:
+    """Rows of one group, NULL like any other, where the other side's columns are called ``_of_...``."""
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return same
+
+
 def rank_cutoffs(
-    df: DataFrame, digest: Column, key: str, strata: list[str], ranks: dict[str, Column]
+    df: DataFrame, digest: Column, key: str, strata: list[str], ranks: dict[str, Column], bucket_rows: int = RANK_BUCKET_ROWS,
 ) -> DataFrame:
     """The (digest, key) pair found at given ranks of each stratum, as ``name`` columns.
 
-    ``ranks`` are expressions over ``_size``, the stratum's rows.  Hex digests
-    are uniform, so their first digits cut even a dominant stratum into 4,096
-    even buckets.  Bucket sizes tell which bucket holds a rank; only those
-    buckets are sorted.  Rows and buckets depend on the key alone, so a
-    recomputed task gives the same answer.
+    ``ranks`` are expressions over ``_size``, the stratum's rows.  Selection by digits: hex
+    digests are uniform, so their first three cut even a dominant stratum into 4,096 even
+    buckets, whose sizes tell which one holds a rank.  While such a bucket has more than
+    ``bucket_rows`` rows, the next three digits cut it again; what is sorted in the end is
+    within that bound at any size.  Equal (digest, key) pairs are counted, not sorted.
+    Rows and buckets depend on the key alone, so a recomputed task gives the same answer.
     """
-    slim = df.select(*strata, key, digest.alias("_digest")).withColumn(
-        "_bucket", F.substring("_digest", 1, RANK_BUCKET_HEX)
-    )
-    sizes = slim.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    # At most 4,096 rows per stratum reach these windows.
-    before = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*strata)
+    slim = df.select(*strata, key, digest.alias("_digest"))
+    of = [f"_of_{s}" for s in strata]
+    stratum = [F.col(s).alias(o) for s, o in zip(strata, of)]
+    sizes = slim.groupBy(*stratum, F.substring("_digest", 1, RANK_DIGITS).alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
+    # At most 4,096 rows per stratum and rank reach these windows.
+    before = Window.partitionBy(*of).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(*[F.struct(F.lit(n).alias("_name"), r.cast("long").alias("_at")) for n, r in ranks.items()])
     targets = (
         sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn("_size", F.sum("_rows").over(whole))
-        .select(*strata, "_bucket", "_offset", "_rows", F.inline(wanted))
-        .where((F.col("_at") > F.col("_offset")) & (F.col("_at") <= F.col("_offset") + F.col("_rows")))
-        .drop("_rows")
-    )
-    within = Window.partitionBy(*strata, "_name", "_bucket").orderBy("_digest", key)
-    same = F.col("_bucket") == F.col("_in")
-    for s in strata:
-        same = same & F.col(s).eqNullSafe(F.col(f"_of_{s}"))
-    found = (
-        slim.join(targets.withColumnsRenamed({s: f"_of_{s}" for s in strata}).withColumnRenamed("_bucket", "_in"), same)
-        .drop("_in", *[f"_of_{s}" for s in strata])
-        .withColumn("_rank", F.row_number().over(within) + F.col("_offset"))
-        .where(F.col("_rank") == F.col("_at"))
+        .withColumn("_size", F.sum("_rows").over(Window.partitionBy(*of)))
+        .select(*of, "_prefix", "_offset", "_rows", F.inline(wanted))
     )
+    holds = (F.col("_at") > F.col("_offset")) & (F.col("_at") <= F.col("_offset") + F.col("_rows"))
+    targets, digits = stage(targets.where(holds), "rank-buckets"), RANK_DIGITS
+    while digits < DIGEST_DIGITS and (targets.agg(F.max("_rows")).first()[0] or 0) > bucket_rows:
+        digits += RANK_DIGITS
+        finer = F.substring("_digest", 1, digits).alias("_prefix")
+        sizes = slim.join(targets.drop("_rows"), _in_bucket(slim, targets, strata, digits - RANK_DIGITS)).groupBy(
+            *of, "_name", "_at", "_offset", finer).agg(F.count(F.lit(1)).alias("_rows"))
+        before = Window.partitionBy(*of, "_name").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_offset", F.col("_offset") + F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        targets = stage(sizes.where(holds), "rank-buckets")
+    pairs = slim.join(targets.drop("_rows"), _in_bucket(slim, targets, strata, digits)).groupBy(
+        *strata, "_name", "_at", "_offset", "_digest", key).agg(F.count(F.lit(1)).alias("_rows"))
+    within = Window.partitionBy(*strata, "_name").orderBy("_digest", key)
+    found = pairs.withColumn("_rank", F.sum("_rows").over(within) + F.col("_offset")).where(
+        (F.col("_rank") >= F.col("_at")) & (F.col("_rank") - F.col("_rows") < F.col("_at")))
     cut = F.struct(F.col("_digest").alias("digest"), F.col(key).alias("key"))
     return found.groupBy(*strata).agg(
         *[F.max(F.when(F.col("_name") == n, cut)).alias(n) for n in ranks]
     )
+
+
+def _in_bucket(slim: DataFrame, targets: DataFrame, strata: list[str], digits: int) -> Column:
+    return _same(strata) & (F.substring(slim["_digest"], 1, digits) == targets["_prefix"])

@@ -86,6 +86,20 @@ def score_lexicon(
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 
+class Opened:
+    """A scorer that is opened on a worker, once per process, by ``open()``: for models too large or unfit to be sent."""
+
+    _scorers: dict[str, Scorer] = {}
+
+    def __init__(self, name: str, open: Callable[[], Scorer]):
+        self.name, self.open = name, open
+
+    def __call__(self, texts: pd.Series) -> pd.DataFrame:
+        if self.name not in self._scorers:
+            self._scorers[self.name] = self.open()
+        return self._scorers[self.name](texts)
+
+
 def score_labels(
     df: DataFrame,
     labels: Sequence[str],
@@ -99,49 +113,43 @@ def score_labels(
 ) -> DataFrame:
     """Add scores from a batch model: ``scorer(texts)`` returns one column per label.
 
-    Arrow batches stream through each task and are cut into ``batch`` rows for the
+    The text and the gate are all that crosses to Python and the scores all that comes
+    back; Arrow batches stream through each task and are cut into ``batch`` rows for the
     model.  A failing slice scores 0.0 (``on_error="zero"``) or NULL (``"null"``) and
     sets ``score_error``; ``"raise"`` lets it fail.  Only rows where the boolean column
     ``where`` is true reach the model, others get NULL, so an expensive second
     stage costs nothing for rows outside the gate.  Truncation happens before the
-    exchange with Python.
+    exchange with Python.  A model that has to be opened comes as ``Opened``.
     """
-    names, source_text = list(labels), "_model_text"
-    prepared = df.withColumn(
-        source_text, F.col(text) if max_chars is None else truncate_chars(F.col(text), max_chars)
-    )
-    schema = T.StructType([*df.schema.fields])
-    schema.add(out, T.ArrayType(T.StructType(
-        [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])))
-    schema.add("score_error", T.BooleanType())
+    names = list(labels)
     if on_error not in ("zero", "null", "raise"):
         raise ValueError(f"unknown on_error: {on_error}")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.reset_index(drop=True)
-            scores = [None] * len(frame)
-            errors = [False] * len(frame)
-            chosen = frame.index[frame[where].eq(True)] if where else frame.index
+    def scored(texts: pd.Series) -> tuple[list, bool]:
+        try:
+            return scorer(texts)[names].to_numpy(dtype=float).tolist(), False
+        except Exception:
+            if on_error == "raise":
+                raise
+            return [[0.0] * len(names) if on_error == "zero" else None] * len(texts), True
+
+    @F.pandas_udf("values array<double>, error boolean")
+    def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, gates in columns:
+            values, errors = [None] * len(texts), [False] * len(texts)
+            chosen = gates.eq(True).to_numpy().nonzero()[0]
             for start in range(0, len(chosen), batch):
-                index = chosen[start : start + batch]
-                try:
-                    result = scorer(frame.loc[index, source_text])[names].to_numpy(dtype=float)
-                    failed = False
-                except Exception:
-                    if on_error == "raise":
-                        raise
-                    result, failed = [[0.0] * len(names)] * len(index), True
-                for row, values in zip(index, result):
-                    errors[row] = failed
-                    if not (failed and on_error == "null"):
-                        scores[row] = [{"label": n, "score": float(v)} for n, v in zip(names, values)]
-            frame = frame.drop(columns=[source_text])
-            frame[out] = scores
-            frame["score_error"] = errors
-            yield frame
-
-    return prepared.mapInPandas(run, schema)
+                index = chosen[start:start + batch]
+                found, failed = scored(texts.iloc[index])
+                for row, own in zip(index, found):
+                    values[row], errors[row] = own, failed
+            yield pd.DataFrame({"values": pd.Series(values, dtype=object), "error": errors})
+
+    source = F.col(text) if max_chars is None else truncate_chars(F.col(text), max_chars)
+    gate = F.lit(True) if where is None else F.coalesce(F.col(where), F.lit(False))
+    named = F.transform(F.col("_scored.values"), lambda v, i: F.struct(F.get(F.array(*map(F.lit, names)), i).alias("label"), v.alias("score")))
+    scores = df.withColumn("_scored", run(source, gate))
+    return scores.withColumns({out: named, "score_error": F.col("_scored.error")}).drop("_scored")
 
 
 def to_long(df: DataFrame, key: str, scores: str = "scores") -> DataFrame:

@@ -149,3 +149,24 @@ def test_history_may_hold_digests(spark):
     ids = spark.createDataFrame([(hashlib.sha256(f"http://a/{i}".encode()).hexdigest(),) for i in (1, 1, 3, 9)], "id string")
     run = ingest.run_funnel(pages, ["robot"], history_urls=ids)
     assert {r["page_id"]: r["outcome"] for r in run.outcomes.collect()} == {0: "saved", 1: "duplicate_url", 2: "saved", 3: "duplicate_url"}
+
+
+@pytest.mark.parametrize("bucket_rows", [1 << 16, 20, 1, 0])
+def test_ranks_are_exact_at_any_bucket_size(spark, bucket_rows):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i // 3 if i < 90 else i) for i in range(500)] + [("only", 7)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(4)
+    digest = F.md5(F.col("k").cast("string"))
+    got = dedup.rank_cutoffs(df, digest, "k", ["g"], {"one": F.lit(1), "half": F.floor((F.col("_size") + 1) / 2), "last": F.col("_size")}, bucket_rows)
+    for g in ("a", "b", None, "only"):
+        ordered = sorted((hashlib.md5(str(k).encode()).hexdigest(), k) for own, k in rows if own == g)
+        r = next(r for r in got.collect() if r["g"] == g)
+        assert [tuple(r[c]) for c in ("one", "half", "last")] == [ordered[0], ordered[(len(ordered) + 1) // 2 - 1], ordered[-1]]
+
+
+def test_total_cap_over_many_groups(spark):
+    rows = [(f"g{i // 3:03d}" if i > 5 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, pos int").repartition(7)
+    for n in (0, 1, 7, 150, 500):
+        got = dedup.cap_total(df, ["g"], ["pos"], n)
+        assert sorted(r["pos"] for r in got.collect()) == list(range(min(n, 200))) and got.columns == ["g", "pos"]

@@ -167,3 +167,21 @@ def test_null_strata_are_kept(spark):
     got = splits.split_stratified(df, "id", "label").groupBy("label", "split").count().collect()
     assert sum(r["count"] for r in got) == 60
     assert {r["split"]: r["count"] for r in got if r["label"] is None} == {"train": 16, "val": 2, "test": 2}
+
+
+def test_only_text_and_gate_reach_the_model(spark):
+    opened = []
+
+    def open_model():
+        opened.append(1)
+        return lambda texts: pd.DataFrame({"a": texts.str.len() * 1.0, "b": 0.0})
+
+    df = spark.createDataFrame([(i, "x" * i, {"k": i}, None) for i in range(6)], "id int, content string, extra map<string,int>, nothing string").repartition(2)
+    scored = scoring.score_labels(df, ["a", "b"], scoring.Opened("lengths", open_model), batch=2)
+    assert scored.columns == ["id", "content", "extra", "nothing", "scores", "score_error"]
+    assert {r["id"]: [(s["label"], s["score"]) for s in r["scores"]] for r in scored.collect()} == {i: [("a", float(i)), ("b", 0.0)] for i in range(6)}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert "run(content" in scan and "extra" not in scan.split("[run(")[1].split("]")[0]
+    failing = scoring.score_labels(df, ["a", "b"], lambda t: 1 / 0, on_error="null")
+    assert all(r["scores"] is None and r["score_error"] for r in failing.collect())
