@@ -93,18 +93,63 @@ case cast(page_id % 3 as int) when 0 then 'rss' when 1 then 'sitemap' else 'cate
 select page_id, url, cast(floor(page_id / 50) as bigint) as chunk from {pages}) p"""
 
 
-@query("site_config", f"""select chunk, row_number() over (partition by chunk order by pos) - 1 as site_pos, domain, type,
-case when type <> 'category' then url end as feed, case when type = 'category' then url end as url from ({fx.duck(SITE_SQL)}) s""")
-def site_config(spark, sf):
-    """Configuration documents of fifty sites each, one file per document."""
+SETTINGS_CTE = f"""with sites as ({fx.duck(SITE_SQL)}),
+words as (select distinct chunk, lower(substring(domain, 1, 4)) as keyword from sites),
+sizes as (select chunk, count(*) as n from sites group by chunk)"""
+
+
+def _config(spark, sf):
+    """Configuration documents of fifty sites each, one file per document; odd ones name a limit less."""
     sites = fx.from_sql(spark, sf, SITE_SQL)
     item = F.struct(
         "pos", "domain", "type", F.when(F.col("type") != "category", F.col("url")).alias("feed"),
         F.when(F.col("type") == "category", F.col("url")).alias("url"), F.lit(False).alias("js"))
-    docs = sites.groupBy("chunk").agg(F.array_sort(F.collect_list(item)).alias("sites")).select(
-        F.to_json(F.struct("sites"), {"pretty": "true"}).alias("value"), "chunk")
+    docs = sites.groupBy("chunk").agg(
+        F.array_sort(F.collect_list(item)).alias("sites"),
+        F.array_sort(F.collect_set(F.upper(F.substring("domain", 1, 4)))).alias("keywords"),
+        F.count("*").cast("int").alias("max_urls"))
+    docs = docs.withColumn("min_content_chars", F.when(F.col("chunk") % 2 == 0, F.col("chunk").cast("int") + 100))
     path = stage_path(spark, "config")
-    docs.write.partitionBy("chunk").text(path)
-    raw = spark.read.schema(f"{schemas.SOURCE_CONFIG}, chunk bigint").option("multiLine", True).json(path)
-    return source_config.site_rows(raw, "chunk").select(
+    docs.select(F.to_json(F.struct("sites", "keywords", "max_urls", "min_content_chars"), {"pretty": "true"}).alias("value"), "chunk").write.partitionBy(
+        "chunk").text(path)
+    return spark.read.schema(f"{schemas.SOURCE_CONFIG}, chunk bigint").option("multiLine", True).json(path)
+
+
+@query("site_config", f"""select chunk, row_number() over (partition by chunk order by pos) - 1 as site_pos, domain, type,
+case when type <> 'category' then url end as feed, case when type = 'category' then url end as url from ({fx.duck(SITE_SQL)}) s""")
+def site_config(spark, sf):
+    return source_config.site_rows(_config(spark, sf), "chunk").select(
         "chunk", F.col("site_pos").cast("long").alias("site_pos"), "domain", "type", "feed", "url")
+
+
+@query("config_keywords", f"""{SETTINGS_CTE} select chunk, row_number() over (partition by chunk order by upper(keyword)) - 1 as pos, keyword from words""")
+def config_keywords(spark, sf):
+    return source_config.keyword_rows(_config(spark, sf), "chunk").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("config_limits", f"""{SETTINGS_CTE}, names as (select unnest(['min_content_chars', 'max_content_chars', 'max_urls_per_site', 'max_urls',
+  'sitemap_max_nested', 'crawl_max_depth', 'crawl_fanout']) as name)
+select chunk, name, cast(case name when 'min_content_chars' then case when chunk % 2 = 0 then chunk + 100 else 500 end
+  when 'max_content_chars' then 10000 when 'max_urls' then n end as int) as value from sizes, names""")
+def config_limits(spark, sf):
+    return source_config.limit_rows(_config(spark, sf), "chunk")
+
+
+@query("jsonl_overwrite", f"select * from ({RECORD_OUT} where doc_id % 2 = 0) r")
+def jsonl_overwrite(spark, sf):
+    """A table of JSON lines that is written again holds the last rows only."""
+    path = stage_path(spark, "jsonl")
+    tables.append_articles(_records(spark, sf), path)
+    tables.write_articles(_records(spark, sf).where(F.col("id").cast("long") % 2 == 0), path)
+    return tables.read_articles(spark, path, "FAILFAST", RECORD)
+
+
+@query("required_columns", "select distinct doc_id % 10 as bucket from documents")
+def required_columns(spark, sf):
+    """A table passes with the columns that are asked for, and is refused without them."""
+    rows = fx.documents(spark, sf).select((F.col("doc_id") % 10).alias("bucket")).distinct()
+    try:
+        tables.require_columns(rows, ["content"])
+    except ValueError:
+        return tables.require_columns(rows, ["bucket"])
+    raise AssertionError("a missing column was let through")

@@ -257,17 +257,21 @@ SITES = [
 ]
 
 
-@query("discover_all", f"""{DOCS}, {LOCS}, {MAP_URLS}, {CLOSURE.replace('select 0 as site', 'select 1 as site')}, {FEED_URLS},
+def discovered_ctes(known: str) -> str:
+    """(site_pos, url) of all that the sites lead to; ``known`` is SQL for URLs to leave out."""
+    return f"""{DOCS}, {LOCS}, {MAP_URLS}, {CLOSURE.replace('select 0 as site', 'select 1 as site')}, {FEED_URLS},
 {crawl_ctes("select 2 as site, 'https://crawl.example.org/p/0' as url")},
 raw as (
   select 0 as site_pos, 0 as depth, '' as doc, pos, loc as url from feed_pos where url = 'https://maps.example.org/feed-1.xml'
   union all select 1, r.depth, r.url, m.pos, m.loc from reached r join map_pos m on m.url = r.url
   union all select 2, s.depth, s.url, p.pos, p.loc from visited s join crawl_pos p on p.url = s.url),
-clean as (select site_pos, depth, doc, pos, {normal('url')} as url from raw),
-kept as (select * from clean where starts_with(url, 'http') and {likely('url')}
-  and url not in (select url from pages where page_id % 7 = 0)),
-per_site as (select * from kept qualify row_number() over (partition by site_pos, url order by depth, doc, pos) = 1)
-select site_pos, url from per_site qualify row_number() over (partition by url order by site_pos, depth, doc, pos) = 1""")
+tidy as (select site_pos, depth, doc, pos, {normal('url')} as url from raw),
+kept as (select * from tidy where starts_with(url, 'http') and {likely('url')} and url not in ({known})),
+per_site as (select * from kept qualify row_number() over (partition by site_pos, url order by depth, doc, pos) = 1),
+discovered as (select site_pos, url from per_site qualify row_number() over (partition by url order by site_pos, depth, doc, pos) = 1)"""
+
+
+@query("discover_all", f"{discovered_ctes('select url from pages where page_id % 7 = 0')} select site_pos, url from discovered")
 def discover_all(spark, sf):
     sites = spark.createDataFrame(SITES, "site_pos int, domain string, type string, feed string, url string")
     history = fx.pages(spark, sf).where("page_id % 7 = 0").select("url")

@@ -107,3 +107,11 @@ def predict_multilabel(
         F.array(*pairs).alias(out),
         *[decision(x).alias(f"pred_{x}") for x in model.labels],
     )
+
+
+def largest_weights(model: MultiLabelModel, n: int) -> list[tuple[str, str, float]]:
+    """(label, term, weight): the ``n`` largest weights of each fitted label by their size."""
+    terms = model.pipeline.stages[0].vocabulary
+    fitted = {s.getLabelCol(): s.coefficients.toArray() for s in model.pipeline.stages if hasattr(s, "coefficients")}
+    return [(label, terms[i], float(weights[i]))
+            for label, weights in fitted.items() for i in abs(weights).argsort()[::-1][:n]]

@@ -43,20 +43,19 @@ def label_articles(
 ) -> DataFrame:
     """Articles with stage-1 and stage-2 probabilities and binary labels.
 
-    Stage 1 is written out before it is read again: scores are expensive.  The
-    second stage sees rows over the gate only; other rows score 0.0.
+    One pass: the second stage sees rows over the gate only, and other rows score 0.0;
+    rows without a gate score are left out.  The result is written once, since scores are expensive.
     """
     require_columns(articles, [key, "content"])
     rows = articles.where(non_blank(F.col("content"))).withColumn("_all", F.lit(True))
     scored = stage1(rows, "content", "_s1", "_all")
-    wide = _named(scored, "_s1", "stage1")
-    wide = stage(wide.drop("_all", "_s1"), "stage1")
+    wide = _named(scored, "_s1", "stage1").drop("_all", "_s1")
     gated = wide.where(F.col(labelling.GATE_COLUMN).isNotNull()).withColumn(
         "_gated", F.col(labelling.GATE_COLUMN) >= gate_threshold
     )
     both = _named(stage2(gated, "content", "_s2", "_gated"), "_s2", "stage2").drop("_gated", "_s2")
     both = both.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in stage_keys("stage2")})
-    return labelling.binarize(both, [*stage_keys("stage1"), *stage_keys("stage2")], binary_threshold)
+    return stage(labelling.binarize(both, [*stage_keys("stage1"), *stage_keys("stage2")], binary_threshold), "labelled")
 
 
 def _named(df: DataFrame, scores: str, stage_name: str) -> DataFrame:

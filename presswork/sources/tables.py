@@ -37,10 +37,13 @@ def write_articles(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_csv(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", rows_per_file: int = 20_000,
+) -> None:
     """CSV with header; quotes are doubled, so text may hold quotes and line breaks.
 
-    Nested columns are written as JSON text.
+    A file with line breaks in its fields is read by one task, so no file gets more than
+    ``rows_per_file`` rows.  Nested columns are written as JSON text.
     """
     flat = df.select(*[
         F.to_json(f.name).alias(f.name)
@@ -48,6 +51,7 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
         for f in df.schema.fields
     ])
     writer = flat.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"')
+    writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
