@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel, inheritable_thread_target
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.operators.descent import blocks, fit_labels
 from presswork.operators.features import fit_tfidf, with_terms
 from presswork.session import stage
 
 
-
-
 @dataclass
 class MultiLabelModel:
     """TF-IDF and label models as one pipeline; labels are matched by name.
@@ -40,51 +41,51 @@ def fit_multilabel(
     train: DataFrame,
     labels: Sequence[str],
     text: str = "content",
-    size: int = 10_000,
+    *,
+    size: int,
     c: float = 1.0,
     max_iter: int = 1000,
-    tol: float = 1e-4,
+    tol: float = 1e-6,
     weight: str | None = None,
-    parallelism: int = 4,
     partitions: int | None = None,
     **bounds,
 ) -> MultiLabelModel:
     """Fit TF-IDF and one unweighted L2 logistic regression per label on ``train``.
 
-    ``C`` of a loss-sum objective is ``regParam = 1 / (C n)`` of Spark's
-    loss-mean objective.  The texts are tokenised once, into a written
-    table that counting, vocabulary and features read; the label fits share a persisted
-    feature table.  Each fit is a distributed job; ``parallelism`` lets a
-    few labels share the cluster.  Every iteration is a job over all partitions: a
-    caller whose rows are few may name fewer ``partitions``.
+    The ``size`` most frequent terms are the features; they reach the driver, so the caller
+    says how many.  The texts are tokenised once, into a written table that counting,
+    vocabulary and features read.  All labels are fitted together, see ``fit_labels``: a
+    pass over the feature blocks serves every label, and the objective is the loss sum plus
+    ``|w|**2 / (2 c)`` with a free intercept.  A caller whose rows are few may name fewer
+    ``partitions``.
     """
     columns = [*labels, *([weight] if weight else [])]
+    spark = train.sparkSession
     terms = stage(with_terms(train.select(text, *columns), text).select("terms", *columns), "terms")
-    tfidf = fit_tfidf(terms, size, **bounds)
-    features = tfidf.transform(terms).select("features", *[F.col(x).cast("double").alias(x) for x in columns])
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        totals = features.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(x) for x in labels]).first()
-        n = totals["_n"]
-        constants = {
-            x: 1.0 if n and totals[x] else 0.0 for x in labels if not n or totals[x] in (None, 0.0, float(n))
-        }
-
-        def fit(label: str):
-            lr = LogisticRegression(
-                featuresCol="features", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                standardization=False, maxIter=max_iter, tol=tol, family="binomial",
-                rawPredictionCol=f"_raw_{label}", probabilityCol=f"_prob_{label}", predictionCol=f"_pred_{label}",
-            )
-            return (lr.setWeightCol(weight) if weight else lr).fit(features if partitions is None else features.coalesce(partitions))
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), [x for x in labels if x not in constants]))
-    finally:
-        features.unpersist()
+    totals = terms.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(x) for x in labels]).first()
+    n = totals["_n"]
+    constants = {x: 1.0 if n and totals[x] else 0.0 for x in labels if not n or totals[x] in (None, 0.0, float(n))}
+    tfidf = fit_tfidf(terms, size, documents=n, **bounds)
+    names, idf = tfidf.stages[0].vocabulary, tfidf.stages[1].getScalingVec().toArray().tolist()
+    left = [x for x in labels if x not in constants]
+    models = []
+    if left:
+        rows = blocks(terms if partitions is None else terms.coalesce(partitions), names, idf, left, weight)
+        found = fit_labels(rows, len(names), len(left), c, tol, max_iter)
+        models = [logistic_model(spark, x, found[:-1, k], float(found[-1, k])) for k, x in enumerate(left)]
     return MultiLabelModel(PipelineModel([*tfidf.stages, *models]), list(labels), constants)
 
 
+def logistic_model(spark: SparkSession, label: str, weights: np.ndarray, intercept: float) -> LogisticRegressionModel:
+    """Spark's model of given weights, so that it is used, saved and loaded like one that Spark fitted."""
+    java = spark.sparkContext._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"LogisticRegression_{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(weights)), intercept)
+    model = LogisticRegressionModel(java)
+    model.setFeaturesCol("features").setPredictionCol(f"_pred_{label}")
+    model.setProbabilityCol(f"_prob_{label}").setRawPredictionCol(f"_raw_{label}")
+    return model._set(labelCol=label)
+
+
 def predict_multilabel(
     df: DataFrame, model: MultiLabelModel, text: str = "content", out: str = "scores"
 ) -> DataFrame:

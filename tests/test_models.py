@@ -1,12 +1,13 @@
 """Features and models."""
 
 import math
+import random
 
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from presswork.operators import features, metrics, train
+from presswork.operators import descent, features, metrics, train
 from presswork.plans import corpus
 from presswork.sources.models import load_model, save_model
 
@@ -37,7 +38,7 @@ def test_vectors_equal_the_relational_form(spark, docs):
 def trained(spark, docs):
     data = docs.withColumn("pet", F.col("content").contains("cat").cast("int")).withColumns(
         {"never": F.lit(0), "always": F.lit(1)})
-    return data, train.fit_multilabel(data, ["pet", "never", "always"], c=100.0)
+    return data, train.fit_multilabel(data, ["pet", "never", "always"], size=100, c=100.0)
 
 
 def test_single_class_labels_are_constant(spark, trained, tmp_path):
@@ -64,7 +65,7 @@ def test_label_list_must_fit_the_models(spark):
 def test_train_stage(spark, trained):
     data, _ = trained
     split = data.withColumn("split", F.when(F.col("id") == 0, "val").when(F.col("id") == 5, "test").otherwise("train"))
-    result = corpus.train_stage(split, ["pet", "never"], c=100.0)
+    result = corpus.train_stage(split, ["pet", "never"], size=100, c=100.0)
     got = {r["split"]: r["hamming_loss"] for r in result.metrics.collect()}
     assert got == {"val": 0.0, "test": 0.0} and result.seconds > 0
     table = corpus.results_table({"one": result, "two": result}, "stage1")
@@ -72,3 +73,48 @@ def test_train_stage(spark, trained):
     doc = corpus.results_document(table, "stage1", ["pet", "never"]).first()
     assert [m["name"] for m in doc["models"]] == ["one", "two"] and doc["num_labels"] == 2
     assert doc["models"][0]["test_metrics"]["hamming_loss"] == 0.0
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        own = rnd.choices(words, k=rnd.randint(3, 12))
+        rows.append((i, " ".join(own), *[int(("w0" in own) ^ (rnd.random() < 0.1 * k)) for k in range(4)], rnd.choice([1.0, 2.0])))
+    return spark.createDataFrame(rows, "id int, content string, a int, b int, c int, d int, weight double").repartition(3)
+
+
+def weights_of(model):
+    return {s.getLabelCol(): [*s.coefficients.toArray(), s.intercept] for s in model.pipeline.stages if hasattr(s, "coefficients")}
+
+
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_labels_fitted_together_equal_single_fits(spark, shuffled, weight):
+    from pyspark.ml.classification import LogisticRegression
+
+    labels = ["a", "b", "c", "d"]
+    model = train.fit_multilabel(shuffled, labels, size=50, weight=weight)
+    one = train.fit_multilabel(shuffled, labels, size=50, weight=weight, partitions=1)
+    rows = PipelineModel(model.pipeline.stages[:3]).transform(features.with_terms(shuffled))
+    n = shuffled.agg(F.sum(weight) if weight else F.count("*")).first()[0]
+    for label in labels:
+        lr = LogisticRegression(labelCol=label, regParam=1.0 / n, standardization=False, tol=1e-10, maxIter=1000)
+        want = (lr.setWeightCol(weight) if weight else lr).fit(rows.withColumn(label, F.col(label).cast("double")))
+        for got in (weights_of(model)[label], weights_of(one)[label]):
+            assert got == pytest.approx([*want.coefficients.toArray(), want.intercept], abs=2e-3)
+
+
+def test_a_pass_serves_all_labels(spark, shuffled, monkeypatch):
+    passes = []
+    monkeypatch.setattr(descent, "_summed", lambda partials, inner=descent._summed: passes.append(1) or inner(partials))
+    train.fit_multilabel(shuffled, ["a"], size=50)
+    single, passes[:] = len(passes), []
+    train.fit_multilabel(shuffled, ["a", "b", "c", "d"], size=50)
+    assert len(passes) < 2 * single + 5
+
+
+def test_the_size_has_to_be_named(shuffled):
+    with pytest.raises(TypeError):
+        train.fit_multilabel(shuffled, ["a"])
