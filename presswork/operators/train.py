@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.operators.descent import blocks, fit_labels
-from presswork.operators.features import fit_tfidf, with_terms
+from presswork.operators.features import fit_vocabulary, tfidf_pipeline, with_terms
 from presswork.session import stage
 
 
@@ -65,15 +65,14 @@ def fit_multilabel(
     totals = terms.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(x) for x in labels]).first()
     n = totals["_n"]
     constants = {x: 1.0 if n and totals[x] else 0.0 for x in labels if not n or totals[x] in (None, 0.0, float(n))}
-    tfidf = fit_tfidf(terms, size, documents=n, **bounds)
-    names, idf = tfidf.stages[0].vocabulary, tfidf.stages[1].getScalingVec().toArray().tolist()
+    names, idf = fit_vocabulary(terms, size, documents=n, **bounds)
     left = [x for x in labels if x not in constants]
     models = []
     if left:
-        rows = blocks(terms if partitions is None else terms.coalesce(partitions), names, idf, left, weight)
-        found = fit_labels(rows, len(names), len(left), c, tol, max_iter)
+        rows = blocks(terms, names, idf, left, weight)
+        found = fit_labels(rows if partitions is None else rows.coalesce(partitions), len(names), len(left), c, tol, max_iter)
         models = [logistic_model(spark, x, found[:-1, k], float(found[-1, k])) for k, x in enumerate(left)]
-    return MultiLabelModel(PipelineModel([*tfidf.stages, *models]), list(labels), constants)
+    return MultiLabelModel(PipelineModel([*tfidf_pipeline(names, idf).stages, *models]), list(labels), constants)
 
 
 def logistic_model(spark: SparkSession, label: str, weights: np.ndarray, intercept: float) -> LogisticRegressionModel:

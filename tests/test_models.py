@@ -118,3 +118,14 @@ def test_a_pass_serves_all_labels(spark, shuffled, monkeypatch):
 def test_the_size_has_to_be_named(shuffled):
     with pytest.raises(TypeError):
         train.fit_multilabel(shuffled, ["a"])
+
+
+@pytest.mark.parametrize("ties", [1 << 16, 3])
+def test_most_frequent_terms(spark, monkeypatch, ties):
+    monkeypatch.setattr(features, "TIES", ties)
+    rnd = random.Random(5)
+    rows = [(f"t{i}", rnd.choice([1, 1, 1, 2, 5, 9, 40])) for i in range(300)]
+    df = spark.createDataFrame(rows, "term string, cf int").repartition(5)
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for size in (1, 7, 30, 200, 299, 300, 1000):
+        assert sorted(tuple(r) for r in features.most_frequent(df, size).collect()) == sorted(ordered[:size])
