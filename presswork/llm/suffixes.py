@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by blockwise suffix sorting over a cover sample.
+"""Removal of repeated substrings, block by block over a cover sample of the suffixes.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a
 smaller key. Sorting all suffixes would move many times the corpus, so suffixes are
@@ -8,18 +8,22 @@ leaves room for 20 sampled bytes takes 6 of 31 positions; here the cover is chos
 content (all positions whose ``ANCHOR`` bytes have the least hash of some window),
 which has the same property and takes 2 of 32.
 
+Only equality is asked for, so the ranks are digests and suffixes are sorted by them,
+not by their letters.
+
 1. Each sampled suffix gets two ranks: its bucket order, a digest of its ``ANCHOR``
    bytes, and the rank of its long tie, a digest of all bytes that strings over the
    sample can reach. Copies within a batch are settled at once; only the smallest
    key's sample travels.
-2. One bucket at a time is sorted by (order, tie rank) and takes bounded memory, as
-   the number of buckets follows the size of the corpus. A sample whose tie rank an
-   earlier document has is repeated as a whole.
+2. One bucket at a time is sorted by (order, tie rank). The number of buckets follows the
+   size of the corpus, which bounds their memory unless one order has very many different
+   ties: a line in a third of all documents, with other text around it in each, is one
+   bucket. A sample whose tie rank an earlier document has is repeated as a whole.
 3. What is left are samples of one order with different tie ranks, the ends of
    repeats; one stands for all of its text and tie rank, as in a run of one byte.
    Their surrounding bytes are fetched, and each string over them is
    compared. Orders with more than ``hot_ties`` different ties are dealt out by
-   string, not by order, so no key gathers in one task.
+   string, not by order.
 4. Marks meet the texts again by document; texts are shuffled compressed.
 
 Nothing of this is kept on the driver but the corpus size. All digests compared are

@@ -124,7 +124,9 @@ def top_k(
             F.col("id").isNotNull() & F.col("weights").isNotNull())
 
     asked = clean(queries).groupBy("id").agg(F.min("weights").alias("weights"))
-    groups = max(1, -(-candidates.count() // block_rows))
+    # every group gets all queries, so there are no more groups than keep the cluster busy, however many blocks they hold
+    slots = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(-(-candidates.count() // block_rows), 4 * slots))
     blocks = _packed(clean(candidates), block_rows).withColumn(
         "group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     questions = _packed(asked, query_rows).select(
