@@ -46,8 +46,16 @@ def combined(spark, sf):
     return stage(labelling.combine_stages(first.drop("text"), second, "doc_id"))
 
 
+def labelled(spark, sf):
+    """Both stages in one pass over the texts; those outside the gate reach the second stage empty, which scores 0.0."""
+    docs = fx.documents(spark, sf).select("doc_id", "text")
+    first = _wide(docs, fx.STAGE1, CATEGORIES, S1_COLS, None, "text")
+    gated = first.withColumn("text", F.when(F.col(labelling.GATE_COLUMN) >= config.GATE_THRESHOLD, F.col("text")))
+    return stage(_wide(gated, fx.STAGE2, ISSUES, S2_COLS, None, *S1_COLS), "labelled")
+
+
 def binary(spark, sf):
-    return labelling.binarize(combined(spark, sf), [*S1_COLS, *S2_COLS])
+    return labelling.binarize(labelled(spark, sf), [*S1_COLS, *S2_COLS])
 
 
 def pivot_cte(source: str, name: str, labels, columns) -> str:

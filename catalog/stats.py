@@ -79,7 +79,7 @@ def _unpivot(source: str, columns) -> str:
 select label, count(*) filter (where value >= 0.5) as positives, round(avg(value), 6) as mean_score,
 round(100.0 * count(*) filter (where value >= 0.5) / count(*), 6) as pct from long group by label""")
 def score_stats(spark, sf):
-    out = stats.score_stats(L.combined(spark, sf), [*L.S1_COLS, *L.S2_COLS])
+    out = stats.score_stats(L.labelled(spark, sf), [*L.S1_COLS, *L.S2_COLS])
     return _pct(out).withColumn("mean_score", F.round("mean_score", 6))
 
 
