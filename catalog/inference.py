@@ -71,19 +71,18 @@ answers as (select v.doc_id, case when ok then category end as category, case wh
   from valid v join best b on b.doc_id = v.doc_id join issues i on i.doc_id = v.doc_id)"""
 
 
-def flat_answers(df):
-    """Issue maps as text in label order."""
+def flat_answers(df, *more):
+    """Issue maps as text in label order, and ``more`` columns."""
     pairs = F.transform(F.map_entries("ethics"), lambda e: F.concat(
         e["key"], F.lit("="), F.round(e["value"] * 1000).cast("int").cast("string")))
     return df.select("doc_id", "category", F.round("confidence", 6).alias("confidence"),
-                     F.array_join(pairs, "|").alias("ethics"), "error")
+                     F.array_join(pairs, "|").alias("ethics"), "error", *more)
 
 
 @query("two_stage", f"{ANSWERS_CTE} select doc_id, category, confidence, ethics, error, substring(text, 1, 200) as preview from answers")
 def two_stage(spark, sf):
     answers = inference.analyze(fx.from_sql(spark, sf, REQUESTS_SQL), STAGE1, STAGE2)
-    return flat_answers(answers.select("doc_id", "category", "confidence", "ethics", "error")).join(
-        fx.from_sql(spark, sf, REQUESTS_SQL).select("doc_id", X.preview(F.col("text")).alias("preview")), "doc_id")
+    return flat_answers(answers, X.preview(F.col("text")).alias("preview"))
 
 
 @query("two_stage_ungated", f"""{ANSWERS_CTE} select a.doc_id, a.category, case when a.error is null then i.ethics end as ethics, a.error
