@@ -87,3 +87,36 @@ def test_sitemap_endings(spark):
         assert row[0] and row[1] == ["http://a/2024/01/story?a=1&b=2"]
     broken = df.select(discover.is_sitemap_index(F.concat("index", F.lit("<x>")))).collect()
     assert not any(r[0] for r in broken)
+
+
+def test_a_level_shuffles_its_frontier_and_its_finds_alone(spark):
+    from pyspark.sql import functions as F
+
+    from presswork.operators import reach as R
+
+    edges = spark.createDataFrame([(f"u{i}", 0, f"u{(i * 7 + 1) % 50}") for i in range(50)], "src string, pos int, url string")
+    links = R.Bucketed(edges, ["src"], "test-edges")
+    seen = R.Bucketed(spark.createDataFrame([(0, "u0", 0)], "site int, url string, depth int"), ["site", "url"], "test-seen", ["depth"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frontier = seen.read().where("depth = 0").select("site", F.col("url").alias("src"))
+        found = frontier.join(links.read(), "src").select("site", "url").distinct()
+        found = found.join(seen.read().select("site", "url"), ["site", "url"], "left_anti")
+        plan = found._jdf.queryExecution().sparkPlan().toString(), found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan[1].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2, plan[1]
+    assert sum("src" in line for line in exchanges) == 1 and sum("site" in line for line in exchanges) == 1
+    assert links.close().count() == 50 and seen.close().count() == 1
+
+
+def test_reach_follows_cycles_and_long_chains_once(spark):
+    from presswork.operators.reach import reach
+
+    edges = [(f"c{i}", 0, f"c{i + 1}") for i in range(9)] + [("c9", 0, "c0"), ("c2", 1, "c0"), ("c0", 1, None), (None, 0, "c5"), ("x", 0, "y")]
+    df = spark.createDataFrame(edges, "src string, pos int, url string")
+    seeds = spark.createDataFrame([(0, "c0"), (0, "c0"), (1, "c4"), (2, "alone")], "site int, url string")
+    got = sorted((r["site"], r["url"], r["depth"]) for r in reach(df, seeds).collect() if r["url"])
+    assert got == sorted([(0, f"c{i}", i) for i in range(10)] + [(1, f"c{(4 + i) % 10}", i) for i in range(10)] + [(2, "alone", 0)])
+    assert reach(df.limit(0), seeds).count() == 3 and reach(df, seeds.limit(0)).count() == 0
