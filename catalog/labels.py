@@ -1,5 +1,10 @@
 """Scoring, labelling, joins and splits."""
 
+import math
+import re
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -8,6 +13,7 @@ from catalog.registry import query
 from presswork import config
 from presswork.config import CATEGORIES, ISSUES, label_key, stage_keys
 from presswork.operators import labelling, scoring, splits
+from presswork.operators.rows import array_rows
 from presswork.session import stage
 
 S1_COLS = stage_keys("stage1")
@@ -92,13 +98,18 @@ def score_lexicon(spark, sf):
 
 
 def lexicon_scorer(lexicon):
-    """The lexicon as a batch model: counts over a whole slice of texts at once."""
+    """The lexicon as a batch model: a slice of texts to a row of scores each, NaN for a text that is None."""
     words, damping = dict(lexicon.words), lexicon.damping
 
+    def hits(text) -> list[float]:
+        if not isinstance(text, str):
+            return [math.nan] * len(words)
+        found = Counter(re.findall(r"\w+", text.lower()))
+        return [sum(found[w] for w in own) for own in words.values()]
+
     def score(texts: pd.Series) -> pd.DataFrame:
-        padded = " " + texts.str.lower().str.replace(r"\W+", "  ", regex=True) + " "
-        hits = {k: sum(padded.str.count(f" {w} ") for w in v) for k, v in words.items()}
-        return pd.DataFrame(hits, index=texts.index).apply(lambda h: h / (h + damping))
+        found = np.array([hits(t) for t in texts], float).reshape(-1, len(words))
+        return pd.DataFrame(found / (found + damping), texts.index, list(words))
 
     return score
 
@@ -113,7 +124,7 @@ def score_pandas(spark, sf):
 def _odd(scorer):
     """A model that cannot take texts of an odd length, and whose slices are single texts."""
     def score(texts: pd.Series) -> pd.DataFrame:
-        if (texts.str.len() % 2).any():
+        if any(isinstance(t, str) and len(t) % 2 for t in texts):
             raise ValueError("odd")
         return scorer(texts)
 
@@ -127,7 +138,8 @@ def score_failures(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
     model = scoring.Opened("odd-lexicon", lambda: _odd(lexicon_scorer(fx.STAGE1)))
     scored = scoring.score_labels(docs, CATEGORIES, model, "text", "scores", batch=1)
-    return scored.select("doc_id", "score_error", F.inline("scores")).withColumn("score", F.round("score", 6))
+    rows = array_rows(scored, ["doc_id", "score_error"], F.col("scores"), "_s", None)
+    return rows.select("doc_id", "score_error", "_s.label", F.round("_s.score", 6).alias("score"))
 
 
 @query("score_gated", f"""{fx.SCORES_CTE} select s2.doc_id, label, round(score, 6) as score from s2
