@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from presswork.functions.html import let
 from presswork.operators.rows import array_rows
-from presswork.functions.text import NON_WORD, compose_text, truncate_chars, truncate_words
+from presswork.functions.text import WORD, compose_text, truncate_chars, truncate_words
 
 SCORES = "array<struct<label:string,score:double>>"
 
@@ -33,38 +33,28 @@ class Lexicon:
         return list(self.words)
 
 
-def _padded(text: Column) -> Column:
-    """Lower-cased words, each between its own pair of spaces."""
-    words = F.regexp_replace(F.lower(text), rf"{NON_WORD}+", "  ")
-    return F.concat(F.lit(" "), words, F.lit(" "))
-
-
-def _occurrences(padded: Column, word: str) -> Column:
-    """Whole-word count by the bytes that a replacement removes; no regex, no character count."""
-    needle = f" {word} "
-    without = F.replace(padded, F.lit(needle), F.lit(""))
-    removed = F.octet_length(padded) - F.octet_length(without)
-    return (removed / F.lit(len(needle.encode()))).cast("int")
+def _occurrences(found: Column, word: str) -> Column:
+    return F.size(F.filter(found, lambda w: w == word))
 
 
 def lexicon_scores(text: Column, lexicon: Lexicon) -> Column:
     """In-row scores of a text.
 
-    The padded text and the hit counts are each bound once, so the expression
-    stays small even where the optimizer copies it into a pushed-down filter.
+    The text is cut into words once; those of any label, which are few, are kept and then
+    counted by label.  They are bound once, so the expression stays small even where the
+    optimizer copies it into a pushed-down filter.
     """
+    every = sorted({w for words in lexicon.words.values() for w in words})
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
 
-    def hits(padded: Column) -> Column:
+    def hits(found: Column) -> Column:
         return F.array(*[
-            F.struct(
-                F.lit(label).alias("label"),
-                sum((_occurrences(padded, w) for w in words), F.lit(0)).alias("hits"),
-            )
-            for label, words in lexicon.words.items()
+            F.struct(F.lit(label).alias("label"), sum((_occurrences(found, w) for w in own), F.lit(0)).alias("hits"))
+            for label, own in lexicon.words.items()
         ])
 
     return F.transform(
-        let(_padded(text), hits),
+        let(F.filter(words, lambda w: w.isin(every)), hits),
         lambda s: F.struct(
             s["label"].alias("label"), (s["hits"] / (s["hits"] + F.lit(lexicon.damping))).alias("score")
         ),

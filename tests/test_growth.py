@@ -39,3 +39,22 @@ def test_batch_lexicon():
     got = score(texts)
     assert [*got.index] == [5, 1, 2, 9] and [*got.columns] == ["one", "two"]
     assert got.fillna(-1).values.tolist() == [[0.6, 0.0], [-1, -1], [0.0, 0.0], [0.0, 1 / 3]]
+
+
+def test_a_text_is_not_stripped_to_be_refused(spark):
+    texts = [None, "", " " * 30, "a", " a ", "123456789", "1234567890", " 1 34567 9\n", " 1        0 ", "1 \n      0 ", "\t1\n\n\n\n\n\n\n9\t", "x\U0001f600" * 4 + "y", "x\U0001f600" * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for least in (0, 1, 2, 10):
+        wrong = df.where(X.input_error(F.col("t"), least).isNotNull() != (F.length(X.strip_ws(F.coalesce("t", F.lit("")))) < least))
+        assert wrong.collect() == []
+    assert "regexp_replace" not in plan(df.select(X.input_error(F.col("t"))))
+
+
+def test_lexicon_words_are_whole_words(spark):
+    lexicon = scoring.Lexicon({"one": ["ab", "ción"], "two": ["cd"], "none": []}, 1.0)
+    df = spark.createDataFrame([("AB ab-ab_ CIÓN abcd", ), ("cd cd\ncd ab ab",), ("",)], "t string")
+    found = scoring.score_lexicon(df, lexicon, "t").collect()
+    assert [[(s["label"], s["score"]) for s in r["scores"]] for r in found] == [
+        [("one", 0.75), ("two", 0.0), ("none", 0.0)], [("one", 2 / 3), ("two", 0.75), ("none", 0.0)],
+        [("one", 0.0), ("two", 0.0), ("none", 0.0)]]
+    assert "regexp_replace" not in plan(scoring.score_lexicon(df, lexicon, "t"))
