@@ -19,6 +19,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 15))), i % 2, i % 3 % 2) for i in range(200)]
+    return spark.createDataFrame([*rows, (200, None, 0, 1)], "id int, content string, a int, b int").repartition(4)
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
@@ -41,6 +49,19 @@ def test_batch_lexicon():
     assert got.fillna(-1).values.tolist() == [[0.6, 0.0], [-1, -1], [0.0, 0.0], [0.0, 1 / 3]]
 
 
+@pytest.mark.parametrize("size", [1 << 21, 5])
+def test_a_vocabulary_counts_in_one_pass(spark, small, monkeypatch, size):
+    monkeypatch.setattr(features, "BATCH_TERMS", size)
+    terms = features.with_terms(small)
+    vocab = features.vocabulary(terms, 201, min_df=1, max_df=1.0)
+    assert plan(vocab).count("regexp_extract_all") == 1
+    lists = [r["terms"] for r in terms.collect()]
+    cf, df = Counter(t for x in lists for t in x), Counter(t for x in lists for t in set(x))
+    assert {r["term"]: (r["df"], r["cf"]) for r in vocab.collect()} == {t: (df[t], cf[t]) for t in cf}
+    odd = spark.createDataFrame([(["a", "a", "b"],), (None,), ([],), (["b"],)], "terms array<string>")
+    assert {tuple(r)[:3] for r in features.vocabulary(odd, 4, min_df=1, max_df=1.0).collect()} == {("a", 1, 2), ("b", 2, 2)}
+
+
 def test_a_text_is_not_stripped_to_be_refused(spark):
     texts = [None, "", " " * 30, "a", " a ", "123456789", "1234567890", " 1 34567 9\n", " 1        0 ", "1 \n      0 ", "\t1\n\n\n\n\n\n\n9\t", "x\U0001f600" * 4 + "y", "x\U0001f600" * 5]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
