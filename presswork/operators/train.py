@@ -15,6 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.functions.text import tokenize
 from presswork.operators.descent import blocks, fit_labels
 from presswork.operators.features import fit_vocabulary, tfidf_pipeline, with_terms
 from presswork.session import stage
@@ -53,23 +54,23 @@ def fit_multilabel(
     """Fit TF-IDF and one unweighted L2 logistic regression per label on ``train``.
 
     The ``size`` most frequent terms are the features; they reach the driver, so the caller
-    says how many.  The texts are tokenised once, into a written table that counting,
-    vocabulary and features read.  All labels are fitted together, see ``fit_labels``: a
+    says how many.  The texts are tokenised once, into a written table of tokens that counting,
+    vocabulary and features read; pairs of tokens are made where they are read.  All labels are fitted together, see ``fit_labels``: a
     pass over the feature blocks serves every label, and the objective is the loss sum plus
     ``|w|**2 / (2 c)`` with a free intercept.  A caller whose rows are few may name fewer
     ``partitions``.
     """
     columns = [*labels, *([weight] if weight else [])]
     spark = train.sparkSession
-    terms = stage(with_terms(train.select(text, *columns), text).select("terms", *columns), "terms")
-    totals = terms.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(x) for x in labels]).first()
+    tokens = stage(train.select(tokenize(F.col(text)).alias("_tokens"), *columns), "tokens")
+    totals = tokens.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(x) for x in labels]).first()
     n = totals["_n"]
     constants = {x: 1.0 if n and totals[x] else 0.0 for x in labels if not n or totals[x] in (None, 0.0, float(n))}
-    names, idf = fit_vocabulary(terms, size, documents=n, **bounds)
+    names, idf = fit_vocabulary(tokens, size, "_tokens", documents=n, pairs=True, **bounds)
     left = [x for x in labels if x not in constants]
     models = []
     if left:
-        rows = blocks(terms, names, idf, left, weight)
+        rows = blocks(tokens, names, idf, left, weight, column="_tokens", pairs=True)
         found = fit_labels(rows if partitions is None else rows.coalesce(partitions), len(names), len(left), c, tol, max_iter)
         models = [logistic_model(spark, x, found[:-1, k], float(found[-1, k])) for k, x in enumerate(left)]
     return MultiLabelModel(PipelineModel([*tfidf_pipeline(names, idf).stages, *models]), list(labels), constants)

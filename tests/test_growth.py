@@ -37,6 +37,40 @@ def tables(spark, tmp_path_factory):
     return at
 
 
+def test_tokens_are_written_without_their_pairs(small, monkeypatch):
+    written = {}
+    monkeypatch.setattr(train, "stage", lambda df, name, inner=train.stage: written.setdefault(name, inner(df, name)))
+    train.fit_multilabel(small, LABELS, size=50)
+    (staged,) = written.values()
+    assert all(" " not in t for r in staged.drop(*LABELS).collect() for t in r[0])
+
+
+def test_few_partial_sums_are_added_at_once(small, monkeypatch):
+    def weights():
+        model = train.fit_multilabel(small, LABELS, size=50)
+        return [v for s in model.pipeline.stages if hasattr(s, "coefficients") for v in [*s.coefficients.toArray(), s.intercept]]
+
+    few = weights()
+    monkeypatch.setattr(descent, "DIRECT", 0)
+    assert weights() == pytest.approx(few, abs=1e-6)
+
+
+@pytest.mark.parametrize("entries", [1 << 18, 7])
+def test_blocks_hold_unit_rows(spark, monkeypatch, entries):
+    monkeypatch.setattr(descent, "BLOCK_ENTRIES", entries)
+    rows = [(["a", "b", "a"], 1, 0.5), (None, 0, 1.0), ([], None, 2.0), (["b", None, "zz"], 1, None), (["a"] * 3 + ["c"], 0, 1.0)]
+    df = spark.createDataFrame(rows, "terms array<string>, y int, w double").coalesce(1)
+    found = []
+    for r in descent.blocks(df, ["a", "b", "c"], [1.0, 2.0, 3.0], ["y"], "w").collect():
+        (b,) = descent._read([__import__("pyarrow").RecordBatch.from_pylist([r.asDict()])], 1)
+        for i, (lo, hi) in enumerate(zip(b.starts, b.starts[1:])):
+            found.append(([*b.indices[lo:hi]], [*b.entries[lo:hi]], b.targets[i, 0], b.weights[i]))
+    root = math.sqrt
+    assert [(i, pytest.approx(v), y, w) for i, v, y, w in found] == [
+        ([0, 1], [2 / root(8), 2 / root(8)], 1, 0.5), ([], [], 0, 1), ([], [], 0, 2), ([1], [1.0], 1, 0),
+        ([0, 2], [3 / root(18), 3 / root(18)], 0, 1)]
+
+
 def test_failing_slices_are_scored_once(spark, tables):
     assert plan(QUERIES["score_failures"](spark, tables)).count("ArrowEvalPython") == 1
 
