@@ -71,6 +71,10 @@ def test_blocks_hold_unit_rows(spark, monkeypatch, entries):
         ([0, 2], [3 / root(18), 3 / root(18)], 0, 1)]
 
 
+def test_a_prediction_is_computed_once(spark, tables):
+    assert plan(QUERIES["predict_multilabel"](spark, tables)).count("regexp_extract_all") == 1
+
+
 def test_failing_slices_are_scored_once(spark, tables):
     assert plan(QUERIES["score_failures"](spark, tables)).count("ArrowEvalPython") == 1
 
