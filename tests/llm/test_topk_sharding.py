@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.llm import sharding
+from presswork.llm import sharding, topk
 from presswork.llm.topk import best_of_block, quantised, top_k
 
 
@@ -33,6 +33,31 @@ def test_top_k_equals_brute_force(spark):
         assert len(got) == len({(r[0], r[1]) for r in got})
 
 
+@pytest.mark.parametrize("load,entries", [(100, 1 << 19), (200, 20), (1 << 23, 1)])
+def test_queries_and_blocks_are_dealt_in_bounds(spark, monkeypatch, load, entries):
+    monkeypatch.setattr(topk, "QUERY_LOAD", load)
+    monkeypatch.setattr(topk, "BLOCK_ENTRIES", entries)
+    rnd = random.Random(2)
+    rows = [(i, [rnd.randint(-3, 3) for _ in range(rnd.choice([0, 1, 9]))]) for i in range(0, 700, 7)] + [(14, [1]), (700, [])]
+    df = spark.createDataFrame(rows, "id long, weights array<long>").repartition(3)
+    out = top_k(df.where("id % 100 = 0"), df, 3, query_rows=2, block_rows=8)
+    assert {tuple(r) for r in out.collect()} == brute_top(rows, 3)
+
+
+def test_queries_meet_blocks_without_a_row_for_each_pair(spark):
+    rows = [(i, [i % 5, -i]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, weights array<long>").coalesce(1)
+    out = top_k(df.where("id % 100 = 0"), df, 2, block_rows=10)
+    assert {tuple(r) for r in out.collect()} == brute_top(rows, 2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_largest_and_least_scores_keep_their_order():
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    lists = [(np.array([1, 1]), np.array([5, 6]), np.array([low, high])), (np.array([1, 2]), np.array([4, 9]), np.array([high, low]))]
+    assert [x.tolist() for x in topk.best_of_lists(lists, 2)] == [[1, 1, 2], [4, 6, 9], [high, high, low]]
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "id long, weights array<long>")
     one = spark.createDataFrame([(0, [1])], "id long, weights array<long>")
